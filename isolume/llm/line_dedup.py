@@ -9,7 +9,8 @@ frequent need no more counting) and added as a run of its own; when a level has
 Defined results: a null or empty text is one empty line; keys shorter than
 ``min_chars`` code points are never dropped; every row counts as a document, so
 rows that repeat a doc_id count apart; null doc_ids are kept; an empty table
-gives an empty table. Columns other than doc_id and text are not looked at.
+gives an empty table. Columns other than doc_id and text pass through; their
+names may be any that do not start with two underscores.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isolume.llm.common import BLANKS, ascii_lower, fingerprint, same_row, scratch_path, stored
+from isolume.llm.common import BLANKS, ascii_lower, fingerprint, scratch_path, stored
 
 #: At most this many frequent keys (16 bytes each) are broadcast; beyond it the join shuffles.
 BROADCAST_KEYS = 500_000
@@ -93,15 +94,15 @@ class LineRuns:
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4) -> DataFrame:
-    """Returns docs' rows as (doc_id, text, n_lines, n_dropped, kept); kept is the text without its frequent lines.
+    """Returns docs with __n_lines, __n_dropped and __kept, the text without its frequent lines.
 
     Batches stand for arrivals; the result does not depend on their number.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", "text", fingerprint(F.col("text")).alias("fp"))
+    rows = docs.select(F.col("doc_id").alias("__id"), "text", fingerprint(F.col("text")).alias("__fp"))
     keys = F.filter(F.transform(lines_of(F.col("text")), key_of), lambda k: F.length(k) >= min_chars)
-    hashed = rows.select("doc_id", "fp", F.explode(F.array_distinct(F.transform(keys, key_hash))).alias("h"))
-    hashed = hashed.select("doc_id", "fp", "h.h1", "h.h2", F.pmod(F.xxhash64("doc_id", "fp"), F.lit(batches)).cast("int").alias("batch"))
+    hashed = rows.select("__id", "__fp", F.explode(F.array_distinct(F.transform(keys, key_hash))).alias("h"))
+    hashed = hashed.select("__id", "__fp", "h.h1", "h.h2", F.pmod(F.xxhash64("__id", "__fp"), F.lit(batches)).cast("int").alias("batch"))
     hashed = stored(hashed, "line_hashes", "batch")
 
     runs = LineRuns(spark, min_docs)
@@ -111,17 +112,17 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches
     few = frequent.count() <= BROADCAST_KEYS
 
     hits = hashed.join(F.broadcast(frequent) if few else frequent, ["h1", "h2"], "left_semi")
-    hits = hits.groupBy("doc_id", "fp").agg(F.collect_set(F.struct("h1", "h2")).alias("frequent"))
-    hits = hits.hint("shuffle_hash")
-    joined = rows.join(hits, same_row(rows, hits), "left").select(rows["doc_id"], rows["text"], hits["frequent"])
-    joined = joined.withColumn("lines", lines_of(F.col("text")))
-
-    stays = lambda line: ~F.array_contains(F.col("frequent"), key_hash(key_of(line)))
-    kept = joined.withColumn("stay", F.when(F.col("frequent").isNotNull(), F.filter("lines", stays)).otherwise(F.col("lines")))
-    return kept.select(
-        "doc_id",
-        "text",
-        F.size("lines").cast("long").alias("n_lines"),
-        (F.size("lines") - F.size("stay")).cast("long").alias("n_dropped"),
-        F.array_join("stay", "\n").alias("kept"),
+    hits = hits.groupBy("__id", "__fp").agg(F.collect_set(F.struct("h1", "h2")).alias("__frequent"))
+    hits = hits.withColumnRenamed("__fp", "__of").hint("shuffle_hash")
+    joined = docs.withColumn("__fp", fingerprint(F.col("text")))
+    joined = joined.join(hits, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__of")), "left")
+    joined = joined.withColumn("__lines", lines_of(F.col("text")))
+
+    stays = lambda line: ~F.array_contains(F.col("__frequent"), key_hash(key_of(line)))
+    kept = F.when(F.col("__frequent").isNotNull(), F.filter("__lines", stays)).otherwise(F.col("__lines"))
+    return joined.withColumn("__stay", kept).select(
+        *docs.columns,
+        F.size("__lines").cast("long").alias("__n_lines"),
+        (F.size("__lines") - F.size("__stay")).cast("long").alias("__n_dropped"),
+        F.array_join("__stay", "\n").alias("__kept"),
     )

@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from isolume.llm.common import stored
+from isolume.llm.common import fingerprint, stored
 
 #: Buckets of the shuffle within a source: the first three hexadecimal digits.
 BUCKET_DIGITS = 3
@@ -61,7 +61,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], budget: float, repe
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), budget: float = 1.5, repeat: int = 2, seed: str = "mix") -> DataFrame:
-    """Returns for every row of docs: doc_id, source, size, source_size, target, taken.
+    """Returns for every row of docs: doc_id, source, fp (of its text), size, source_size, target, taken.
 
     budget: times the words of all documents; repeat: the most passes over a document. The shuffle is an md5
     of the seed and doc_id, so reruns agree.
@@ -69,6 +69,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), budget: float = 1.5
     rows = docs.select(
         "doc_id",
         "source",
+        fingerprint(F.col("text")).alias("fp"),
         word_count(F.col("text")).alias("size"),
         F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("at"),
     )
@@ -78,21 +79,21 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), budget: float = 1.5
     src = stored(source_targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, budget, repeat), "mix_sources")
     known = src.select("level", "total").first()
     if known is None:
-        return rows.select("doc_id", "source", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken"))
+        return rows.select("doc_id", "source", "fp", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken"))
     words = int(budget * known["total"])
     level = known["level"] or 1.0
 
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn("before", F.coalesce(F.sum("words").over(earlier), F.lit(0))).drop("words")
     offsets = offsets.join(src, offsets["source"].eqNullSafe(src["source"])).select(offsets["source"], "bucket", "before", "weight", "source_size", "target")
-    within = Window.partitionBy("source", "bucket").orderBy("at", "doc_id", "size")
+    within = Window.partitionBy("source", "bucket").orderBy("at", "doc_id", "size", "fp")
     queued = rows.withColumn("n", F.row_number().over(within)).withColumn("upto", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)))
     queued = queued.join(offsets, rows["source"].eqNullSafe(offsets["source"]) & (rows["bucket"] == offsets["bucket"]))
-    queued = queued.select("doc_id", rows["source"], rows["bucket"], "n", "size", "at", "source_size", "weight", "target", (F.col("before") + F.col("upto")).alias("upto"))
+    queued = queued.select("doc_id", rows["source"], rows["bucket"], "n", "fp", "size", "at", "source_size", "weight", "target", (F.col("before") + F.col("upto")).alias("upto"))
     items = queued.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(repeat - 1))))
     items = items.withColumn("finish", (F.col("round") * F.col("source_size") + F.col("upto")) / F.col("weight"))
     items = items.withColumn("range", F.least(F.floor(F.col("finish") / F.lit(level) * RANGES), F.lit(MOST_RANGES)))
-    items = stored(items.select("doc_id", "source", "bucket", "n", "size", "at", "source_size", "target", "round", "finish", "range"), "mix_items")
+    items = stored(items.select("doc_id", "source", "bucket", "n", "fp", "size", "at", "source_size", "target", "round", "finish", "range"), "mix_items")
 
     before_range = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = items.groupBy("range").agg(F.sum("size").alias("words"))  # at most MOST_RANGES + 1 rows
@@ -102,5 +103,23 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), budget: float = 1.5
     reached = placed.filter(F.col("ahead") < words).withColumn("ahead", F.col("ahead") + F.coalesce(F.sum("size").over(in_order), F.lit(0)))
     reached = reached.withColumn("taken", F.greatest(F.lit(0), F.least(F.col("size"), F.lit(words) - F.col("ahead"))))
     taken = reached.unionByName(placed.filter(F.col("ahead") >= words).withColumn("taken", F.lit(0).cast("long")))
-    out = taken.groupBy("source", "bucket", "n").agg(*[F.first(c).alias(c) for c in ("doc_id", "size", "source_size", "target")], F.sum("taken").alias("taken"))
-    return out.select("doc_id", "source", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
+    out = taken.groupBy("source", "bucket", "n").agg(*[F.first(c).alias(c) for c in ("doc_id", "fp", "size", "source_size", "target")], F.sum("taken").alias("taken"))
+    return out.select("doc_id", "source", "fp", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), budget: float = 1.5, repeat: int = 2, seed: str = "mix") -> DataFrame:
+    """docs with each row as often as the mix takes it whole; what the cut leaves of a document is left out.
+
+    Rows that are equal in doc_id, source and text share what they are taken, the first of them one more.
+    """
+    taken = mix(docs, weights, budget, repeat, seed)
+    each = taken.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("fp").alias("__of")).agg(
+        F.sum(F.expr("if(size > 0, taken div size, 0)")).alias("__times"), F.count(F.lit(1)).alias("__copies")
+    )
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__fp") == F.col("__of"))
+    joined = docs.withColumn("__fp", fingerprint(F.col("text"))).join(each.filter("__times > 0"), same)
+    turn = F.row_number().over(Window.partitionBy("doc_id", "source", "__fp").orderBy(F.lit(0)))
+    joined = joined.withColumn("__turn", turn)
+    times = F.expr("cast(__times div __copies as int) + if(__turn <= __times % __copies, 1, 0)")
+    joined = joined.withColumn("__n", times).filter("__n > 0")
+    return joined.withColumn("__pass", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)

@@ -19,6 +19,15 @@ SELECT d.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM marked m JOIN docs d ON m.rid = d.rid GROUP BY d.rid, d.doc_id
 """
 
+OP3 = """
+WITH vectors AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+                 WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.rid AS qid, q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+           FROM vectors q JOIN vectors c ON q.rid <> c.rid WHERE q.vec_id % 20 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id)::INT AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
 OP5 = r"""
 WITH docs AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
                      md5('mix' || coalesce(doc_id::VARCHAR, '')) AS shuffled FROM documents),
@@ -103,6 +112,7 @@ FROM docs d LEFT JOIN lists l ON d.rid = l.rid
 
 ORACLE_SQL = {
     "op1_line_dedup": OP1,
+    "op3_exact_topk": OP3,
     "op5_source_mixing": OP5,
     "op6_license_scan": _license_sql(),
     "op10_secret_scan": _secret_sql(),
