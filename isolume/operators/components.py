@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isolume.llm.common import stored
+from isolume.storage import stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
