@@ -1,42 +1,17 @@
-"""What the operators of this subpackage share: scratch tables and row identity."""
+"""What the operators of this subpackage share: row identity, folds and letters."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from isolume.storage import scratch_path, shared_dir, stored  # noqa: F401
+
 #: The white space that the contracts name: space, and \t \n \v \f \r.
 BLANKS = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        named = "file://" + tempfile.mkdtemp(prefix="isolume-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/isolume/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Writes a table to the shared folder and returns it reread: lineage ends there, and lost executors cost no recomputation."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    writer = df.write.partitionBy(partition_by) if partition_by else df.write
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(text, UPPER, LOWER)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isolume.llm.common import fingerprint, same_row, stored
-from isolume.llm.graph import components
+from isolume.operators.components import components
 from isolume.llm.textnp import bags, buffers, mix, pieces
 
 SHINGLE, SIMILARITY = 5, 0.8
