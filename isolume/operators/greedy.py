@@ -163,7 +163,7 @@ def merge_clusters(t: DataFrame, cfg: MergeConfig) -> DataFrame:
     order = F.struct(-F.size("junctions"), -F.col("length"), F.col("ord"))
     best = out.groupBy("seed", "mono").agg(
         F.count(F.lit(1)).alias("members"),
-        F.min_by("status", F.struct(good[F.col("status")], order)).alias("best"),
+        F.min_by("status", F.when(F.col("status").isNotNull(), F.struct(good[F.col("status")], order))).alias("best"),
         F.max(F.when(F.col("status") == "monoexon_overlap", 1)).alias("moved"),
     )
     of_mono = F.when(F.col("moved") == 1, "monoexon_overlap").otherwise("monoexon_exact")
