@@ -19,8 +19,18 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def session_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/isolume/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/isolume/{name}-{uuid.uuid4().hex}"
+    return f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> bool:
+    """Deletes the session's scratch tables. Results that are still to be read need theirs, so this is for the end of a job."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(session_dir(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
