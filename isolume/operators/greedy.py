@@ -116,17 +116,37 @@ def _rows(batch: pa.Table | pa.RecordBatch) -> list[dict]:
 
 
 def _grouped(t: DataFrame, run: Callable[[list[dict]], list[tuple]], extra: tuple[str, ...] = (), schema: str = PLACED) -> DataFrame:
-    """Runs a function over each island; t has the island's number."""
-    names = [x.split()[0] for x in schema.split(", ")]
+    """Runs a function over each island; t has the islands.
 
-    def work(table: pa.Table) -> pa.Table:
-        found = run(_rows(table))
-        types = {"bigint": pa.int64(), "string": pa.string(), "double": pa.float64()}
-        kinds = [types[x.split()[1]] for x in schema.split(", ")]
-        return pa.table({n: pa.array([f[i] for f in found], k) for i, (n, k) in enumerate(zip(names, kinds, strict=True))})
-
-    narrow = t.select("chrom", "strand", "island", "ord", "start", "end", "exons", "junctions", *extra)
-    return narrow.groupBy("chrom", "strand", "island").applyInArrow(work, schema)
+    Islands are dealt out by their own key (a chromosome's would all meet in one task otherwise) and stream through
+    sorted, so a task holds one island at a time.
+    """
+    fields = [x.split() for x in schema.split(", ")]
+    types = {"bigint": pa.int64(), "string": pa.string(), "double": pa.float64()}
+
+    def told(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], types[k]) for i, (_, k) in enumerate(fields)], [n for n, _ in fields])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        now = None
+        for batch in batches:
+            found: list[tuple] = []
+            for r in _rows(batch):
+                island = r["chrom"], r["strand"], r["island"]
+                if held and island != now:
+                    found += run(held)
+                    held = []
+                now = island
+                held.append(r)
+            if found:
+                yield told(found)
+        if held:
+            yield told(run(held))
+
+    key = ("chrom", "strand", "island")
+    narrow = t.select(*key, "ord", "start", "end", "exons", "junctions", *extra)
+    return narrow.repartition(*key).sortWithinPartitions(*key).mapInArrow(work, schema)
 
 
 def merge_multi_exon(t: DataFrame, cfg: MergeConfig) -> DataFrame:

@@ -11,8 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from isolume.storage import stored
+
 #: Width of a bin: longer than most intervals, so that few are cut.
 BIN = 1 << 17
+#: Length of the stretches in which islands are found.
+STRETCH = 1 << 22
 
 
 def overlap_join(a: DataFrame, b: DataFrame, keys: list[str], bin_width: int | None = BIN) -> DataFrame:
@@ -38,17 +42,27 @@ def self_overlap(t: DataFrame, keys: list[str], ident: str, bin_width: int | Non
     return overlap_join(t, t, keys, bin_width).filter(F.col(f"a_{ident}") != F.col(f"b_{ident}"))
 
 
-def islands(t: DataFrame, keys: list[str], low: Column, high: Column, tol: int = 0, name: str = "island", tie: str = "ord") -> DataFrame:
-    """Adds the number of the island of [low, high) within its keys.
+def islands(t: DataFrame, keys: list[str], low: Column, high: Column, tol: int = 0, tie: str = "ord", stretch: int = STRETCH) -> DataFrame:
+    """Adds island, the low of the first interval of the island of [low, high) within its keys; tie identifies a row.
 
     A new island begins where low passes all earlier highs by more than tol, so nothing within tol of each other is
-    parted and islands can be worked on apart.
+    parted and islands can be worked on apart. The running maximum is made in two levels, over stretches of the axis
+    and within one, so that no key's rows lie in one task; only four narrow columns are sorted.
     """
-    order = Window.partitionBy(*keys).orderBy("__low", tie)
-    so_far = F.max("__high").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    begins = F.coalesce((F.col("__low") > F.col("__so_far") + tol).cast("int"), F.lit(0))
-    t = t.withColumn("__low", low).withColumn("__high", high).withColumn("__so_far", so_far).withColumn("__begins", begins)
-    return t.withColumn(name, F.sum("__begins").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__low", "__high", "__so_far", "__begins")
+    narrow = t.select(*keys, F.col(tie).alias("__tie"), low.alias("__low"), high.alias("__high")).withColumn("__stretch", F.floor(F.col("__low") / stretch))
+    narrow = stored(narrow, "islands")
+    place = [*keys, "__stretch"]
+    earlier = Window.partitionBy(*keys).orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
+    tops = narrow.groupBy(*place).agg(F.max("__high").alias("__top")).withColumn("__before", F.max("__top").over(earlier)).drop("__top")
+    order = Window.partitionBy(*place).orderBy("__low", "__tie")
+    inside = F.max("__high").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = narrow.join(tops, place).withColumn("__so_far", F.greatest("__before", inside))
+    marked = marked.withColumn("__begin", F.when(F.col("__so_far").isNull() | (F.col("__low") > F.col("__so_far") + tol), F.col("__low")))
+    marked = stored(marked.select(*place, "__tie", "__low", "__begin"), "islands")
+    firsts = marked.groupBy(*place).agg(F.max("__begin").alias("__last")).withColumn("__open", F.max("__last").over(earlier)).drop("__last")
+    here = F.max("__begin").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    found = marked.withColumn("__here", here).join(firsts, place).select("__tie", F.coalesce("__here", "__open").alias("island"))
+    return t.join(found, t[tie] == found["__tie"]).drop("__tie")
 
 
 def transcript_islands(t: DataFrame, tol: int = 0) -> DataFrame:

@@ -357,8 +357,8 @@ def _spans(spark: SparkSession, sf_dir: str, minutes: int) -> DataFrame:
 
 def event_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of a user's events that are at most two hours apart."""
-    t = islands(_spans(spark, sf_dir, 120), ["user_id"], F.col("start"), F.col("end"), tie="event_id")
-    return t.groupBy("user_id", F.col("island").cast("long").alias("island")).agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("start"), F.max("end").alias("end"))
+    t = islands(_spans(spark, sf_dir, 120), ["user_id"], F.col("start"), F.col("end"), tie="event_id", stretch=86_400_000_000)
+    return t.groupBy("user_id", "island").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("start"), F.max("end").alias("end"))
 
 
 def event_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -207,8 +207,8 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "event_islands": """WITH e AS (SELECT user_id, event_id, epoch_us(ts) AS start, epoch_us(ts) + 7200000000 AS stop FROM events),
         b AS (SELECT *, CASE WHEN start > max(stop) OVER (PARTITION BY user_id ORDER BY start, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS begins FROM e),
-        i AS (SELECT *, sum(begins) OVER (PARTITION BY user_id ORDER BY start, event_id)::BIGINT AS island FROM b)
-        SELECT user_id, island, count(*) AS n, min(start) AS start, max(stop) AS "end" FROM i GROUP BY user_id, island""",
+        i AS (SELECT *, sum(begins) OVER (PARTITION BY user_id ORDER BY start, event_id)::BIGINT AS run FROM b)
+        SELECT user_id, min(start) AS island, count(*) AS n, min(start) AS start, max(stop) AS "end" FROM i GROUP BY user_id, run""",
     "event_overlaps": """SELECT a.event_id AS a_event_id, b.event_id AS b_event_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id < b.event_id
         AND epoch_us(a.ts) < epoch_us(b.ts) + 7200000000 AND epoch_us(b.ts) < epoch_us(a.ts) + 7200000000""",
     "penalty_pairs": _with(

@@ -91,9 +91,18 @@ def test_overlap_join_equals_nested_loops(spark):
     for width in (None, 64, 1 << 17):
         got = [(r.a_id, r.b_id) for r in overlap_join(df, df, ["chrom"], width).select("a_id", "b_id").collect()]
         assert len(got) == len(want) and set(got) == want
-    parts = islands(df.filter("start < end").withColumnRenamed("id", "ord"), ["chrom"], F.col("start"), F.col("end"))
-    of = {r.ord: (r.chrom, r.island) for r in parts.collect()}
-    assert all(of[a] == of[b] for a, b in want)
+    for tol in (0, 40):
+        sparse = [(i, c, a * 20, a * 20 + (b - a)) for i, c, a, b in rows if a < b]
+        far, now = {}, {}
+        for i, c, a, b in sorted(sparse, key=lambda r: (r[2], r[0])):
+            if c not in far or a > far[c][0] + tol:
+                far[c] = (b, a)
+            now[i] = (c, far[c][1])
+            far[c] = (max(far[c][0], b), far[c][1])
+        t = spark.createDataFrame(sparse, "ord int, chrom string, start bigint, end bigint")
+        for stretch in (100, 1 << 22):
+            found = islands(t, ["chrom"], F.col("start"), F.col("end"), tol, stretch=stretch)
+            assert {r.ord: (r.chrom, r.island) for r in found.collect()} == now
 
 
 def test_merge_plan(spark, files):
