@@ -10,12 +10,16 @@ agree in a place with the probability of their weighted Jaccard similarity.
 Points are made in order of time up to a horizon; texts with a place still
 empty are done again with twice the horizon, so signatures are exact.
 
-Bands of the signature propose links. Equal bags are one node from the start.
-A first round compares each bucket's members with its least member only, which
-joins large groups of copies in linear work. The second compares what is still
-apart: members of one bucket in different classes, in blocks of bounded size,
-by signature inside the task; only pairs near the threshold come out. Every
-link is verified by the weighted Jaccard similarity of the two bags.
+Bands of the signature propose links: texts that agree in a band share a bucket.
+Equal bags are one node from the start, and buckets with the same members are
+one. A bucket's members are dealt into blocks of bounded size. In a block the
+weighted Jaccard similarities of all pairs are exact (products of 0/1 matrices
+over the elements that the block shares), and only the links that join two
+classes come out, fewer than it has members. A first round compares within
+blocks; the blocks of a large bucket differ from band to band, so large groups
+of copies join in linear work. The second round makes up what is left: in
+buckets of several blocks, members that are still in different classes are
+compared block by block. No link is lost to a cap, and no pairs are listed.
 
 Defined results: null texts and texts without a word stand alone; texts of one
 to four words are one shingle; rows that repeat a doc_id or a text share a
@@ -40,10 +44,10 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: A pair at 0.8 shares no band with probability (1 - 0.8 ** 5) ** 25 = 5e-5, and less above.
 BANDS, ROWS = 25, 5
 PLACES = BANDS * ROWS
-#: Pairs whose signatures agree in less than this share are not verified; at 0.8 that is five standard deviations off.
-WORTH_A_LOOK = 0.62
-#: Members of a bucket that are compared in one task with as many others.
+#: Members of a bucket that are compared with each other, or with as many others, at once.
 BLOCK = 256
+#: Elements of a block whose columns are held at once.
+COLUMNS = 1 << 14
 #: Bytes of text that are held as arrays at once.
 AT_ONCE = 4 << 20
 #: Rows of about 50 bytes that may be broadcast.
@@ -95,8 +99,8 @@ def _bag_minhash(shingle: np.ndarray, count: np.ndarray, doc: np.ndarray, total:
     return out
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
-_SIGNED_DDL = "doc_id long, fp long, node binary, bands array<long>, sig binary"
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64()))])
+_SIGNED_DDL = "doc_id long, fp long, node binary, bands array<long>"
 
 
 def sign(texts: pa.Array) -> tuple[list[bytes | None], np.ndarray, np.ndarray]:
@@ -127,63 +131,124 @@ def _sign_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         sizes = np.diff(buffers(batch.column("text"))[1])
         for part in pieces(sizes, AT_ONCE, 4096):
             rows = batch.slice(part.start, part.stop - part.start)
-            nodes, bands, places = sign(rows.column("text"))
-            empty = np.array([n is None for n in nodes])
+            nodes, bands, _ = sign(rows.column("text"))
             at = np.arange(len(nodes) + 1, dtype=np.int32) * BANDS
             lists = pa.ListArray.from_arrays(pa.array(at), pa.array(bands.reshape(-1)))
-            signatures = pa.array([None if e else p.tobytes() for e, p in zip(empty.tolist(), places, strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("fp"), pa.array(nodes, pa.binary()), lists, signatures], schema=_SIGNED)
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("fp"), pa.array(nodes, pa.binary()), lists], schema=_SIGNED)
 
 
-def similarity(a: pa.Array, b: pa.Array) -> np.ndarray:
-    """Weighted Jaccard similarity of the shingle bags of each pair of texts."""
-    (ka, ca, na), (kb, cb, nb) = bags(a, SHINGLE), bags(b, SHINGLE)
-    both, ia, ib = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
-    shared = np.bincount((both >> _U(48)).astype(np.int64), np.minimum(ca[ia], cb[ib]), minlength=len(na))
-    return shared / np.maximum(na + nb - shared, 1)
+def elements(texts: pa.Array) -> list[np.ndarray]:
+    """The elements of each text: a shingle that occurs w times is w elements, so shared elements are the bags' common weight."""
+    keys, count, total = bags(texts, SHINGLE)
+    turn = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    each = mix((np.repeat(keys & _U((1 << 48) - 1), count) << _U(1)) + turn.astype(_U) * _U(0xA0761D6478BD642F))
+    return np.split(each, np.cumsum(total)[:-1])
 
 
-def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bag_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b = batch.column("text_u"), batch.column("text_v")
-        sizes = np.diff(buffers(a)[1]) + np.diff(buffers(b)[1])
-        for part in pieces(sizes, AT_ONCE, 4096):
-            n = part.stop - part.start
-            near = similarity(a.slice(part.start, n), b.slice(part.start, n)) >= SIMILARITY
-            rows = batch.slice(part.start, n).select(["u", "v"])
-            yield rows.filter(pa.array(near))
-
-
-def _compare_blocks(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-    """Pairs of different classes whose signatures agree enough, of two blocks of one bucket."""
-    out: tuple[list, list] = ([], [])
-    if len(left) and len(right):
-        width = PLACES * 4
-        sides = (("a", left), ("b", right))
-        sigs = [np.frombuffer(b"".join(t.column(f"{s}_sig").to_pylist()), np.uint32).reshape(-1, width // 4) for s, t in sides]
-        names = [np.array(t.column(f"{s}_node").to_pylist(), object) for s, t in sides]
-        roots = [np.array(t.column(f"{s}_root").to_pylist(), object) for s, t in sides]
-        for i in range(len(names[0])):
-            other = np.flatnonzero(roots[1] != roots[0][i])
-            alike = other[(sigs[1][other] == sigs[0][i]).mean(axis=1) >= WORTH_A_LOOK]
-            out[0].extend([names[0][i]] * len(alike))
-            out[1].extend(names[1][alike].tolist())
-    return pa.table({"u": pa.array(out[0], pa.binary()), "v": pa.array(out[1], pa.binary())})
-
-
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose bags are similar enough; the text of v is joined first, so that a node with many pairs is split among tasks."""
-    pairs = pairs.join(texts.select(F.col("node").alias("v"), F.col("text").alias("text_v")), "v")
-    pairs = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("text_u")), "u")
-    return pairs.select("u", "v", "text_u", "text_v").mapInArrow(_verify_batches, "u binary, v binary")
-
-
-def _texts(rows: DataFrame, reps: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, text) of the nodes that have pairs; one row's text stands for its node."""
+        for part in pieces(np.diff(buffers(batch.column("text"))[1]), AT_ONCE, 4096):
+            rows = batch.slice(part.start, part.stop - part.start)
+            found = pa.array([e.tobytes() for e in elements(rows.column("text"))], pa.binary())
+            yield pa.RecordBatch.from_arrays([rows.column("node"), found], ["node", "bag"])
+
+
+def similarities(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.ndarray:
+    """Weighted Jaccard similarity of every bag on the left with every one on the right (or on the left again)."""
+    every = left + (right or [])
+    size = np.array([len(e) for e in every])
+    row = np.repeat(np.arange(len(every)), size)
+    _, code, seen = np.unique(np.concatenate(every), return_inverse=True, return_counts=True)
+    shared = seen[code] > 1  # an element of one bag only adds nothing
+    row, code = row[shared], code[shared]
+    _, code = np.unique(code, return_inverse=True)
+    order = np.argsort(code, kind="stable")
+    row, code = row[order], code[order]
+    a = len(left)
+    common = np.zeros((a, len(right) if right is not None else a), np.float32)
+    for first in range(0, int(code[-1]) + 1 if len(code) else 0, COLUMNS):
+        i, j = np.searchsorted(code, [first, first + COLUMNS])
+        held = np.zeros((len(every), min(COLUMNS, int(code[-1]) + 1 - first)), np.float32)
+        held[row[i:j], code[i:j] - first] = 1
+        common += held[:a] @ (held[a:] if right is not None else held).T
+    total = size[:a, None] + (size[a:] if right is not None else size)[None, :]
+    return common / np.maximum(total - common, 1)
+
+
+def joining_links(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Links (i, j) of near that join two classes, until none is left; left and right: class numbers of rows and columns."""
+    left, right, out = left.copy(), right.copy(), []
+    while True:
+        i, j = np.unravel_index(np.argmax(near & (left[:, None] != right[None, :])), near.shape)
+        if not near[i, j] or left[i] == right[j]:
+            return out
+        old, new = right[j], left[i]
+        left[left == old] = new
+        right[right == old] = new
+        out.append((int(i), int(j)))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each key, of batches sorted by key; one block is held at a time."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        keys = batch.column("key").to_numpy()
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a == b:
+                continue
+            if held and keys[a] != now:
+                yield pa.Table.from_batches(held)
+                held = []
+            now = keys[a]
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _sides(block: pa.Table) -> tuple[list[bytes], np.ndarray, list[np.ndarray]]:
+    """(names, class numbers, bags) of a block's rows."""
+    names = block.column("node").to_pylist()
+    roots = block.column("root").to_pylist()
+    numbers = {r: i for i, r in enumerate(dict.fromkeys(roots))}
+    return names, np.array([numbers[r] for r in roots]), [np.frombuffer(x, _U) for x in block.column("bag").to_pylist()]
+
+
+def _compare_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links that join classes, of each block: rows of side a with those of side b, or with each other if there is no b."""
+    for block in _blocks(batches):
+        if block.num_rows < 2:
+            continue
+        names, number, found = _sides(block)
+        side = block.column("side").to_numpy()
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if len(np.unique(number)) < 2 or not len(a):
+            continue
+        left = [found[i] for i in a]
+        if len(b):
+            near = similarities(left, [found[i] for i in b]) >= SIMILARITY
+        else:
+            b = a
+            near = np.triu(similarities(left) >= SIMILARITY, 1)
+        links = joining_links(near, number[a], number[b])
+        if links:
+            u, v = [names[a[i]] for i, _ in links], [names[b[j]] for _, j in links]
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], ["u", "v"])
+
+
+def _compared(blocks: DataFrame, found: DataFrame) -> DataFrame:
+    """Links (u, v) of blocks of (key, side, node, root)."""
+    rows = blocks.join(found, "node").select("key", "side", "node", "root", "bag")
+    return rows.repartition("key").sortWithinPartitions("key", "side").mapInArrow(_compare_batches, "u binary, v binary")
+
+
+def _bags(rows: DataFrame, reps: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, bag) of nodes that share a bucket; the text of one row stands for its node."""
     wanted = stored(reps.join(nodes.distinct(), "node", "left_semi"), "near_wanted")
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted.hint("shuffle_hash")
     found = rows.join(wanted, same_row(rows, wanted)).select("node", rows["text"])
-    return stored(found.dropDuplicates(["node"]), "near_texts")
+    return stored(found.mapInArrow(_bag_batches, "node binary, bag binary").dropDuplicates(["node"]), "near_bags")
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
@@ -194,44 +259,40 @@ def near_classes(docs: DataFrame) -> DataFrame:
     reps = stored(node.agg(F.min(F.struct("doc_id", "fp")).alias("row"), F.first("bands").alias("bands")).select("node", "row.doc_id", "row.fp", "bands"), "near_nodes")
 
     members = reps.select("node", F.explode("bands").alias("band"))
-    buckets = members.groupBy("band").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "least")
-    buckets = stored(buckets, "near_buckets")
+    same = F.sum(F.xxhash64("node").cast("decimal(38,0)"))  # buckets of one size and sum have the same members
+    buckets = members.groupBy("band").agg(F.count(F.lit(1)).alias("n"), same.alias("same")).filter("n > 1")
+    buckets = stored(buckets.groupBy("n", "same").agg(F.min("band").alias("band")).select("band", "n"), "near_buckets")
     members = stored(members.join(buckets, "band"), "near_members")
-    star = stored(members.filter("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v")).distinct(), "near_star")
-    reps = reps.drop("bands")
-    texts = _texts(rows, reps, members.select("node"))
-    links = stored(_verified(star, texts), "near_links")
+    bags_ = _bags(rows, reps.drop("bands"), members.select("node"))
 
+    dealt = lambda n: F.pmod(F.xxhash64("node", "band"), F.ceil(F.col(n) / BLOCK))
+    blocks = members.select(F.xxhash64("band", dealt("n")).alias("key"), F.lit(0).alias("side"), "node", F.col("node").alias("root"))
+    links = stored(_compared(blocks, bags_), "near_links")
     classes = components(links)
-    members = members.select("band", "node").join(classes, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-    members = stored(members, "near_open")
-    groups = members.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
-    mixed = stored(groups.groupBy("band").agg(F.count(F.lit(1)).alias("classes"), F.sum(F.when(F.col("n") < BLOCK, F.col("n"))).alias("small")).filter("classes > 1"), "near_mixed")
-    large = groups.filter(F.col("n") >= BLOCK).join(mixed, "band").select("band", "root", "n")
-    # A large class has blocks of its own, and the small ones share some; blocks of one large class needn't meet.
-    open_ = members.join(mixed, "band").join(large, ["band", "root"], "left")
+
+    # Buckets of several blocks: a large class has blocks of its own, which needn't meet each other; small classes share some.
+    wide = members.filter(F.col("n") > BLOCK).select("band", "node").join(classes, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+    wide = stored(wide, "near_wide")
+    groups = wide.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
+    mixed = groups.groupBy("band").agg(F.count(F.lit(1)).alias("classes"), F.sum(F.when(F.col("n") < BLOCK, F.col("n"))).alias("small")).filter("classes > 1")
+    large = groups.filter(F.col("n") >= BLOCK).select("band", "root", "n")
     shared = F.lit(b"")
+    open_ = wide.join(mixed, "band").join(large, ["band", "root"], "left")
     whose = F.when(F.col("n").isNotNull(), F.col("root")).otherwise(shared)
-    blocks = F.ceil(F.coalesce("n", "small") / BLOCK).cast("int")
-    open_ = open_.select("band", "node", "root", whose.alias("whose"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("part"))
-    sigs = signed.filter(F.col("sig").isNotNull()).join(open_.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("sig").alias("sig"))
-    open_ = stored(open_.join(sigs, "node"), "near_blocks")
+    count = F.ceil(F.coalesce("n", "small") / BLOCK)
+    open_ = open_.select("band", "node", "root", whose.alias("whose"), F.pmod(F.xxhash64("node"), count).cast("int").alias("part"))
+    open_ = stored(open_, "near_open")
     per_block = open_.select("band", "whose", "part").distinct()
     a = per_block.select("band", F.col("whose").alias("whose_a"), F.col("part").alias("part_a"))
     b = per_block.select("band", F.col("whose").alias("whose_b"), F.col("part").alias("part_b"))
     in_order = F.struct("whose_a", "part_a") <= F.struct("whose_b", "part_b")
-    meet = stored(a.join(b, "band").filter(in_order & ((F.col("whose_a") == shared) | (F.col("whose_a") != F.col("whose_b")))), "near_meet")
-    key = ["band", "whose_a", "part_a", "whose_b", "part_b"]
-    sides = []
-    for side in "ab":
-        at = meet.withColumn("whose", F.col(f"whose_{side}")).withColumn("part", F.col(f"part_{side}"))
-        kept = [*key, "node", "root", "sig"]
-        sides.append(at.join(open_, ["band", "whose", "part"]).select(*kept).toDF(*[f"{side}_{c}" for c in kept]))
-    grouped = [df.groupBy(*[f"{side}_{c}" for c in key]) for side, df in zip("ab", sides, strict=True)]
-    apart = grouped[0].cogroup(grouped[1]).applyInArrow(_compare_blocks, "u binary, v binary")
-    apart = stored(apart.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "near_apart")
-    more = stored(_verified(apart, texts), "near_more_links")
-
+    meet = a.join(b, "band").filter(in_order & ((F.col("whose_a") == shared) | (F.col("whose_a") != F.col("whose_b"))))
+    meet = stored(meet.withColumn("key", F.xxhash64("band", "whose_a", "part_a", "whose_b", "part_b")), "near_meet")
+    itself = (F.col("whose_a") == F.col("whose_b")) & (F.col("part_a") == F.col("part_b"))
+    sides = meet.select("band", "key", F.lit(0).alias("side"), F.col("whose_a").alias("whose"), F.col("part_a").alias("part"))
+    sides = sides.unionByName(meet.filter(~itself).select("band", "key", F.lit(1).alias("side"), F.col("whose_b").alias("whose"), F.col("part_b").alias("part")))
+    blocks = sides.join(open_, ["band", "whose", "part"]).select("key", "side", "node", "root")
+    more = stored(_compared(blocks, bags_), "near_more_links")
     if not more.isEmpty():
         classes = components(links.unionByName(more))
     out = signed.select("doc_id", "fp", "node").join(classes, "node", "left")
