@@ -152,14 +152,14 @@ def classify_pair(q: dict[str, Column], r: dict[str, Column], threshold: int) ->
         retained = (F.size(m["q"]) > 0) & (nq < nr) & ~is_continuous(F.transform(m["q"], lambda p: p["j"]))
         return (
             F.when((F.size(m["q"]) == nq) & (nq > 0) & (nq < nr), "c")
-            .when((F.size(m["r"]) == nr) & (nr > 0) & (nr < nq), "k")
+            .when((nr < nq) & (nr > 0) & (F.size(m["r"]) == nr), "k")
             .when(within_span(r, q) & ~within_span(q, r), "y")
             .when(retained, "m")
             .when(F.size(m["q"]) > 0, "j")
             .otherwise("o")
         )
 
-    found = F.struct(match_first(q["junctions"], r["junctions"], threshold).alias("q"), match_first(r["junctions"], q["junctions"], threshold).alias("r"))
+    found = F.struct(match_first(q["junctions"], r["junctions"], threshold).alias("q"), F.when(nr < nq, match_first(r["junctions"], q["junctions"], threshold)).alias("r"))
     both_multi = F.when(chains_match(q["junctions"], r["junctions"], threshold), "=").otherwise(bound(found, of_pairs))
     same = (
         F.when(in_intron(q, r["junctions"]) & ~touch, "i")

@@ -6,20 +6,44 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from isolume.operators.components import components
-from isolume.operators.interval import overlap_join
+from isolume.operators.interval import BIN, islands, overlap_join
+from isolume.storage import stored
 
 
-def gene_edges(merged: DataFrame, by_reference: bool = False) -> DataFrame:
-    """(u, v): transcripts of one strand whose exons overlap, if the later start does not pass the earlier end.
+def exon_edges(exons: DataFrame, bin_width: int | None = BIN) -> DataFrame:
+    """(u, v) that connect what overlapping exons of (chrom, strand, id, i, t_start, t_end, start, end) connect.
 
-    The second condition is about spans: a representative may have exons outside its span, and such an overlap does
-    not count. by_reference also links transcripts of one reference gene.
+    Exons that overlap in a chain form an island, and its transcripts hang together: each is linked to the least, so
+    links grow with the exons and not with their pairs. Only an overlap whose later transcript starts within the
+    earlier one's span counts; where a transcript of an island has exons outside its span, the island's pairs are
+    looked at one by one.
     """
-    exons = merged.select("chrom", "strand", F.col("merge_id").alias("id"), F.col("start").alias("t_start"), F.col("end").alias("t_end"), F.explode("exons").alias("e"))
-    exons = exons.select("chrom", "strand", "id", "t_start", "t_end", F.col("e.start").alias("start"), F.col("e.end").alias("end"))
-    pairs = overlap_join(exons, exons, ["chrom", "strand"])
+    keys = ["chrom", "strand"]
+    odd = (F.col("start") < F.col("t_start")) | (F.col("end") > F.col("t_end"))
+    exons = exons.filter("start < end").withColumn("odd", odd).withColumn("exon", F.struct("id", "i"))
+    found = stored(islands(exons, keys, F.col("start"), F.col("end"), -1, tie="exon"), "exon_islands")
+    hubs = found.groupBy(*keys, "island").agg(F.min("id").alias("hub"), F.max("odd").alias("any_odd"))
+    told = found.join(hubs, [*keys, "island"])
+    edges = told.filter("NOT any_odd AND id <> hub").select(F.col("hub").alias("u"), F.col("id").alias("v")).distinct()
+    rest = told.filter("any_odd").select(*keys, "island", "id", "t_start", "t_end", "start", "end")
+    pairs = overlap_join(rest, rest, [*keys, "island"], bin_width)
     first = F.struct("a_t_start", "a_id") < F.struct("b_t_start", "b_id")
-    edges = pairs.filter(first & (F.col("b_t_start") <= F.col("a_t_end"))).select(F.col("a_id").alias("u"), F.col("b_id").alias("v"))
+    looked = pairs.filter(first & (F.col("b_t_start") <= F.col("a_t_end"))).select(F.col("a_id").alias("u"), F.col("b_id").alias("v"))
+    return edges.unionByName(looked.distinct())
+
+
+def exons_of(transcripts: DataFrame, ident: str) -> DataFrame:
+    """One row for each exon, with its transcript's span."""
+    e = transcripts.select("chrom", "strand", F.col(ident).alias("id"), F.col("start").alias("t_start"), F.col("end").alias("t_end"), F.posexplode("exons").alias("i", "e"))
+    return e.select("chrom", "strand", "id", "i", "t_start", "t_end", "e.start", "e.end")
+
+
+def gene_edges(merged: DataFrame, by_reference: bool = False) -> DataFrame:
+    """(u, v) whose components are genes: transcripts of one strand whose exons overlap.
+
+    by_reference also links transcripts of one reference gene.
+    """
+    edges = exon_edges(exons_of(merged, "merge_id"))
     if by_reference:
         known = merged.filter(F.col("ref_gene_id").isNotNull())
         hubs = known.groupBy("chrom", "strand", "ref_gene_id").agg(F.min("merge_id").alias("v"))

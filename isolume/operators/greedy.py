@@ -49,7 +49,10 @@ def _ends(t: dict) -> tuple[int, int]:
 
 
 def multi_status(seed: dict, t: dict, cfg: MergeConfig) -> str | None:
-    """Status of a multi-exon pair of one chromosome, or None if it can't be merged."""
+    """Status of a multi-exon pair of one chromosome, or None if it can't be merged. Far ends are refused before junctions are matched."""
+    (tss_a, tes_a), (tss_b, tes_b) = _ends(seed), _ends(t)
+    if abs(tss_a - tss_b) > cfg.tss_window or abs(tes_a - tes_b) > cfg.tes_window:
+        return None
     links = nearest(seed["j"], t["j"], cfg.junction_threshold)
     if not links:
         return None
@@ -63,9 +66,6 @@ def multi_status(seed: dict, t: dict, cfg: MergeConfig) -> str | None:
         return None
     if 0 <= cfg.max_3trunc < lost[1]:
         return None
-    (tss_a, tes_a), (tss_b, tes_b) = _ends(seed), _ends(t)
-    if abs(tss_a - tss_b) > cfg.tss_window or abs(tes_a - tes_b) > cfg.tes_window:
-        return None
     moved = sum(e > 0 for _, _, e in links)
     if 0 <= cfg.max_diff_count < moved or moved / len(links) > cfg.max_diff_ratio:
         return None
@@ -111,6 +111,7 @@ def _rows(batch: pa.Table | pa.RecordBatch) -> list[dict]:
         r["x"] = [(e["start"], e["end"], e["strand"]) for e in r.pop("exons")]
         r["j"] = [(j["donor"], j["acceptor"], j["strand"]) for j in r.pop("junctions")]
         r["length"] = sum(b - a for a, b, _ in r["x"])
+        r["plain"] = all(a[1] <= b[0] for a, b in zip(r["x"], r["x"][1:], strict=False))
         r["key"] = (r["start"], r["end"], tuple(r["j"]), tuple(r["x"]) if not r["j"] else ())
     return rows
 
@@ -192,14 +193,29 @@ def merge_clusters(t: DataFrame, cfg: MergeConfig) -> DataFrame:
     return out.drop("status").join(best, ["seed", "mono"]).withColumnRenamed("cluster_status", "status")
 
 
-def similarity_parts(a: dict, b: dict, cfg: ClusterConfig) -> tuple[float, float, float, float]:
-    """(structural, junction, jaccard, total), each rounded to four places as the limits expect."""
+def _like(x: int, y: int) -> float:
+    return 1.0 - abs(x - y) / max(x, y) if max(x, y) else 0.0
 
-    def like(x: int, y: int) -> float:
-        return 1.0 - abs(x - y) / max(x, y) if max(x, y) else 0.0
 
-    structural = like(len(a["x"]), len(b["x"])) * like(a["length"], b["length"])
-    shared = sum(max(0, min(e, f) - max(s, t)) for s, e, _ in a["x"] for t, f, _ in b["x"])
+def most_similar(a: dict, b: dict, cfg: ClusterConfig) -> float:
+    """An upper bound of the total similarity, from counts alone: at most the fewer junctions and the shorter length are shared.
+
+    Infinite if a transcript's own exons overlap, since bases would count twice.
+    """
+    if not (a["plain"] and b["plain"]):
+        return float("inf")
+    ja, jb, la, lb = len(a["j"]), len(b["j"]), a["length"], b["length"]
+    parts = [(cfg.weight_structural, _like(len(a["x"]), len(b["x"])) * _like(la, lb)), (cfg.weight_jaccard, _like(la, lb))]
+    if ja or jb:
+        parts.append((cfg.weight_junction, min(ja, jb) / max(ja, jb)))
+    weight = sum(w for w, _ in parts)
+    return sum(w / weight * s for w, s in parts) + 1e-3 if weight and min(w for w, _ in parts) >= 0 else float("inf")
+
+
+def similarity_parts(a: dict, b: dict, cfg: ClusterConfig) -> tuple[float, float, float, float]:
+    """(structural, junction, jaccard, total), each rounded to four places as the limits expect."""
+    structural = _like(len(a["x"]), len(b["x"])) * _like(a["length"], b["length"])
+    shared = sum(max(0, min(e, f) - max(s, t)) for s, e, _ in a["x"] for t, f, _ in b["x"] if s < f and t < e)
     union = a["length"] + b["length"] - shared
     jaccard = shared / union if union else 0.0
     ja, jb = a["j"], b["j"]
@@ -249,10 +265,12 @@ def similarity_clusters(t: DataFrame, cfg: ClusterConfig) -> DataFrame:
         known: dict[tuple, tuple] = {}
         out = []
         for r in rows:
-            best, most = None, (0.0, 0.0, 0.0, 0.0)
+            best, most, shape = None, (0.0, 0.0, 0.0, 0.0), (r["key"], tuple(r["x"]))
             for rep in reps:
                 if rep["start"] < r["end"] and rep["end"] > r["start"]:
-                    pair = (rep["ord"], r["key"], tuple(r["x"]))
+                    if most_similar(rep, r, cfg) < max(cfg.min_similarity, most[3]):
+                        continue
+                    pair = (rep["ord"], shape)
                     if pair not in known:
                         known[pair] = similarity_parts(rep, r, cfg)
                     parts = known[pair]

@@ -35,7 +35,7 @@ from isolume.operators import legacy
 from isolume.operators.classify import classify_best, classify_pairs
 from isolume.operators.components import components
 from isolume.operators.consensus import pick_end, truncations
-from isolume.operators.genes import define_genes
+from isolume.operators.genes import define_genes, exon_edges, exons_of
 from isolume.operators.greedy import merge_clusters, merge_mono_exon
 from isolume.operators.ids import assign_ids
 from isolume.operators.interval import islands, overlap_join, self_overlap
@@ -248,8 +248,7 @@ def truncation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gene_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each transcript's component of exon overlap, named by its least transcript."""
-    e = lens(spark, sf_dir).select("chrom", "strand", "ord", F.explode("exons").alias("e")).select("chrom", "strand", "ord", "e.start", "e.end")
-    edges = overlap_join(e, e, ["chrom", "strand"], WIDTH).filter("a_ord < b_ord").select(F.col("a_ord").alias("u"), F.col("b_ord").alias("v")).distinct()
+    edges = exon_edges(exons_of(lens(spark, sf_dir), "ord"))
     found = components(edges).withColumnRenamed("node", "ord")
     t = lens(spark, sf_dir).select("ord")
     return t.join(found, "ord", "left").select("ord", F.coalesce("root", "ord").alias("component"))

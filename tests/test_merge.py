@@ -10,8 +10,9 @@ from test_kernels import as_dict, random_row
 
 from isolume.config import ClusterConfig, MergeConfig
 from isolume.operators.classify import classify_best, reference
-from isolume.operators.genes import define_genes
-from isolume.operators.greedy import merge_clusters, mono_status, multi_status, similarity_clusters, similarity_parts
+from isolume.operators.components import components
+from isolume.operators.genes import define_genes, gene_edges
+from isolume.operators.greedy import merge_clusters, mono_status, most_similar, multi_status, similarity_clusters, similarity_parts
 from isolume.operators.ids import assign_ids, merge_order
 from isolume.plans.merge import consolidate
 from isolume.sources.gtf import natural_order
@@ -131,3 +132,43 @@ def test_genes(spark):
     assert got[0] == got[1] == "K" and got[2] == "NG2" and got[3] == "NG3" and got[4] == "NG1"
     linked = define_genes(merged.withColumn("ref_gene_id", F.lit("K")), "N", by_reference=True)
     assert linked.filter("chrom = 'chr1' AND strand = '+'").select("component").distinct().count() == 1
+
+
+def test_bound_of_the_similarity():
+    rnd = random.Random(12)
+    for _ in range(3000):
+        a, b = ({**as_dict(random_row(rnd)), "plain": True} for _ in range(2))
+        b["strand"] = a["strand"]
+        cfg = ClusterConfig(junction_threshold=rnd.choice([0, 5, 60]), fuzzy_threshold=80, weight_structural=rnd.random(), weight_junction=rnd.random(), weight_jaccard=rnd.random())
+        assert similarity_parts(a, b, cfg)[3] <= most_similar(a, b, cfg)
+
+
+def test_gene_links_stop_at_spans(spark):
+    """A representative with an exon outside its span: that overlap counts only if the later start is within the earlier span."""
+    rows = [
+        row([], start=100, end=200, ord=0, exons=[(100, 150), (400, 500)]), row([], start=300, end=600, ord=1),
+        row([], start=1000, end=1200, ord=2, exons=[(1000, 1100), (1300, 1500)]), row([], start=1150, end=1400, ord=3, exons=[(1350, 1400)]),
+    ]
+    t = frame(spark, rows).withColumn("merge_id", F.col("ord"))
+    assert {tuple(sorted((r.u, r.v))) for r in gene_edges(t).collect()} == {(2, 3)}
+
+
+def test_gene_links_connect_what_pairs_connect(spark):
+    rnd = random.Random(21)
+    rows = [random_row(rnd, ord=i) for i in range(150)]
+    rows = [(*r[:3], r[3] + 450 * (r[7] % 6), r[4] + 450 * (r[7] % 6), *r[5:8], [(a + 450 * (r[7] % 6), b + 450 * (r[7] % 6), s) for a, b, s in r[8]], *r[9:]) for r in rows]
+    parent = {r[7]: r[7] for r in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in rows:
+        for b in rows:
+            if a[5] == b[5] and a[3] <= b[3] <= a[4] and any(x[0] < y[1] and x[1] > y[0] for x in a[8] for y in b[8]):
+                u, v = sorted((find(a[7]), find(b[7])))
+                parent[v] = u
+    t = frame(spark, rows).withColumn("merge_id", F.col("ord"))
+    roots = {r.node: r.root for r in components(gene_edges(t)).collect()}
+    assert {r[7]: roots.get(r[7], r[7]) for r in rows} == {r[7]: find(r[7]) for r in rows}
