@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from isolume.llm.textnp import buffers, mix, pieces
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-AT_ONCE = 8 << 20
+AT_ONCE = 4 << 20
 #: Distinct units that a worker remembers between batches (about 40 bytes each).
-REMEMBERED = 1_500_000
+REMEMBERED = 1_000_000
 #: Scores of models whose own are merge ranks: log-probabilities after Zipf and Mandelbrot, -log(SHIFT + rank).
 SHIFT = 100
 _U = np.uint64
