@@ -131,10 +131,11 @@ def brute(rows, k, every):
     return sorted(out)
 
 
-@pytest.mark.parametrize("blocks", [(8192, 4096), (16, 3)])
-def test_top_k(spark, monkeypatch, blocks):
-    monkeypatch.setattr(topk, "CANDIDATES", blocks[0])
-    monkeypatch.setattr(topk, "QUERIES", blocks[1])
+@pytest.mark.parametrize("least", [1024, 5])
+def test_top_k(spark, monkeypatch, least):
+    """In one block, and in many that share their queries' bounds."""
+    monkeypatch.setattr(topk, "LEAST", least)
+    monkeypatch.setattr(topk, "MOST", least)
     rnd = random.Random(2)
     rows = [(i, [rnd.gauss(0, 1) * 0.9**d for d in range(40)]) for i in range(120)]
     rows += [(7, rows[7][1]), (20, rows[20][1]), (200, [0.0] * 40), (201, None), (None, [1.0] * 40), (202, [None] * 40), (203, [float("nan")] * 40), (204, [float("inf")] * 40), (205, [1.0, 2.0]), (220, [])]
@@ -148,3 +149,25 @@ def test_top_k_of_few_and_large(spark):
     got = [(r["rank"], r.vec_id, r.score) for r in top_k(df, k=20).collect()]
     assert sorted(got) == [(1, 1, 2**63 - 1), (2, 2, -(2**63))]
     assert top_k(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("least", [1024, 8])
+def test_top_k_orders_large_products(spark, monkeypatch, least):
+    """Products beyond 2**53 differ by less than a float tells apart."""
+    monkeypatch.setattr(topk, "LEAST", least)
+    monkeypatch.setattr(topk, "MOST", least)
+    rows = [(20, [2.0**28, 1.0])] + [(100 + i, [2.0**28, float(i)]) for i in range(1, 40) if (100 + i) % 20]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["rank"], r.vec_id, r.score) for r in top_k(df, k=5, scale=1).collect())
+    want = sorted(((2**56 + i - 100, i) for i, _ in rows[1:]), reverse=True)[:5]
+    assert got == [(n + 1, i, s) for n, (s, i) in enumerate(want)]
+
+
+def test_bounds_given_lose_nothing():
+    draw = np.random.default_rng(3)
+    q, c = np.floor(64 * draw.standard_normal((9, 40))), np.floor(64 * draw.standard_normal((300, 40)))
+    ids, own = np.arange(300), np.full(9, -1)
+    free = topk.search(q, c, own, ids, 7)
+    least = np.array([s[-1] for _, s in free], float)
+    for (a, x), (b, y) in zip(free, topk.search(q, c, own, ids, 7, least), strict=True):
+        assert a.tolist() == b.tolist() and x.tolist() == y.tolist()
