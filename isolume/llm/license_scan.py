@@ -2,10 +2,12 @@
 
 A text's rolling word k-grams are joined by hash to the k-gram positions of all
 templates. A hit at text word p and template word t votes for the diagonal
-p - t; neighbouring diagonals (words inserted or left out) are merged, and a
-span is verified by the share of the template's k-grams found on them. Phrases
-must be found whole on one diagonal. A hit counts only if its words equal the
-template's, so equal hashes alone decide nothing.
+p - t. Neighbouring diagonals (words inserted or left out) are merged into a
+span, whose diagonals lie at most DRIFT apart. A span is verified by aligning it:
+the template's k-grams are taken in order, each at the first of its places in
+the span behind the one before; the share that finds a place must reach `least`.
+Phrases must be found whole on one diagonal. A hit counts only if its words
+equal the template's, so equal hashes alone decide nothing.
 
 Defined results: a null text is empty; a row without words or hits gets a row
 with no labels and score 0; a row that is repeated gets as many result rows;
@@ -47,8 +49,8 @@ NOTICES = {
 }
 
 K = 2
-#: Diagonals this near are one span: that many words were inserted or left out.
-GAP = 3
+#: Diagonals of one span lie at most this far apart: so many words may be inserted or left out.
+DRIFT = 3
 #: A template's votes are bits of a long.
 MOST_GRAMS = 63
 
@@ -75,10 +77,25 @@ def template_grams(docs: DataFrame, phrases: Mapping[str, str], notices: Mapping
     return out.withColumn("h", F.xxhash64("tgram"))
 
 
+def _aligned(span: Column, n_grams: Column) -> Column:
+    """struct<t, p, n, first>: of the span's (diagonal, bits), how many k-grams stand in the template's order, and where."""
+    on = lambda d: F.filter(F.sequence(F.lit(0), n_grams - 1), lambda t: F.getbit(d["bits"], t) == 1)
+    hits = F.flatten(F.transform(span, lambda d: F.transform(on(d), lambda t: F.struct(t.alias("t"), (d["diagonal"] + t).alias("p")))))
+    start = F.struct(F.lit(-1).alias("t"), F.lit(-1).alias("p"), F.lit(0).alias("n"), F.lit(-1).alias("first"))
+
+    def step(acc: Column, x: Column) -> Column:
+        first = F.when(acc["n"] == 0, x["p"]).otherwise(acc["first"])
+        taken = F.struct(x["t"].alias("t"), x["p"].alias("p"), (acc["n"] + 1).alias("n"), first.alias("first"))
+        return F.when((x["t"] > acc["t"]) & (x["p"] > acc["p"]), taken).otherwise(acc)
+
+    return F.aggregate(F.sort_array(hits), start, step)
+
+
 def scan_licenses(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, notices: Mapping[str, str] = NOTICES, least: float = 0.7) -> DataFrame:
     """Returns for every row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
-    least: the share of a notice's k-grams that verifies it. spans: (label, first word, share) of every verified span.
+    least: the share of a notice's k-grams that verifies it. spans: (label, first word, last word, share) of every
+    verified place: phrases, and of a notice's spans within DRIFT of each other the best.
     """
     templates = template_grams(docs, phrases, notices)
     rows = docs.select("doc_id", fingerprint(F.col("text")).alias("fp"), words_of(F.col("text")).alias("words"))
@@ -103,31 +120,28 @@ def scan_licenses(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, notices
         F.sum(F.when(counted, 1)).alias("copies"),
     )
     line = Window.partitionBy("doc_id", "fp", "template").orderBy("diagonal")
-    far = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(line) > GAP).cast("int"), F.lit(0))
-    spans = votes.withColumn("far", far).withColumn("span", F.sum("far").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    span = F.collect_list(F.struct("diagonal", "bits")).over(line.rangeBetween(0, DRIFT))
+    enough = F.bit_count(F.bit_or("bits").over(line.rangeBetween(0, DRIFT))) >= least * F.col("n_grams")
+    marked = votes.withColumn("span", F.when(~F.col("base") & enough, span))
+    marked = marked.withColumn("aligned", F.when(F.col("span").isNotNull(), _aligned(F.col("span"), F.col("n_grams"))))
+    share = F.col("aligned.n") / F.col("n_grams")
+    marked = marked.withColumn("share", F.when(share >= least, share))
+    place = F.when(F.col("share").isNotNull(), F.struct("share", (-F.col("diagonal")).alias("early")))
+    marked = marked.withColumn("best", place == F.max(place).over(line.rangeBetween(-DRIFT, DRIFT)))
+
     whole = F.col("base") & (F.bit_count("bits") == F.col("n_grams"))
-    spans = spans.groupBy("doc_id", "fp", "template", "n_grams", "label", "base", "span").agg(
-        F.bit_or("bits").alias("bits"),
-        F.sum(whole.cast("long")).alias("places"),
-        F.min(F.when(whole, F.col("diagonal"))).alias("first_place"),
-        F.max(F.when(whole, F.col("diagonal"))).alias("last_place"),
-        F.min("diagonal").alias("start"),
-        F.max("n_words").alias("n_words"),
-        F.max("copies").alias("copies"),
-    )
-    share = F.bit_count("bits") / F.col("n_grams")
-    base = F.col("base") & (F.col("places") > 0)
-    notice = ~F.col("base") & (share >= least)
-    out = spans.groupBy("doc_id", "fp").agg(
+    found = F.when(whole, F.struct("label", F.col("diagonal").alias("first"), (F.col("diagonal") + F.col("n_grams") + K - 2).alias("last"), F.lit(1.0).alias("share")))
+    found = found.when(F.col("best"), F.struct("label", F.col("aligned.first").alias("first"), (F.col("aligned.p") + K - 1).alias("last"), "share"))
+    out = marked.withColumn("found", found).groupBy("doc_id", "fp").agg(
         F.max("n_words").alias("n_words"),
         F.max("copies").alias("copies"),
-        F.coalesce(F.sum(F.when(F.col("base"), F.col("places"))), F.lit(0)).alias("n_base"),
-        F.min("first_place").cast("long").alias("first_word"),
-        F.max("last_place").cast("long").alias("last_word"),
-        F.array_join(F.array_sort(F.collect_set(F.when(base, F.col("label")))), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.collect_set(F.when(base | notice, F.col("label")))), ",").alias("labels"),
-        F.coalesce(F.max(F.when(base, 1.0).when(notice, share)), F.lit(0.0)).alias("score"),
-        F.array_sort(F.collect_list(F.when(base | notice, F.struct("label", "start", share.alias("share"))))).alias("spans"),
+        F.coalesce(F.sum(whole.cast("long")), F.lit(0)).alias("n_base"),
+        F.min(F.when(whole, F.col("diagonal"))).cast("long").alias("first_word"),
+        F.max(F.when(whole, F.col("diagonal"))).cast("long").alias("last_word"),
+        F.array_join(F.array_sort(F.collect_set(F.when(whole, F.col("label")))), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.collect_set("found.label")), ",").alias("labels"),
+        F.coalesce(F.max("found.share"), F.lit(0.0)).alias("score"),
+        F.array_sort(F.collect_list("found")).alias("spans"),
     )
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")

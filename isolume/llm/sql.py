@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from isolume.llm.license_scan import NOTICES, PHRASES
+from isolume.llm.license_scan import DRIFT, NOTICES, PHRASES
 from isolume.llm.secret_scan import RULES
 
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -53,7 +53,7 @@ FROM placed GROUP BY source, n
 
 
 def _license_sql() -> str:
-    """Phrases exactly; a notice by the share of its word pairs on near diagonals, as the operator defines it."""
+    """Phrases exactly; a notice by the share of its word pairs that can be taken in order on near diagonals."""
     rows = [(p, lab, True) for p, lab in PHRASES.items()] + [(t, lab, False) for lab, t in NOTICES.items()]
     values = []
     for n, (text, label, base) in enumerate(rows):
@@ -64,12 +64,14 @@ def _license_sql() -> str:
 WITH templates(tgram, template, tpos, n_grams, label, base) AS (VALUES {", ".join(values)}),
 docs AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({low}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
 grams AS (SELECT rid, unnest(range(0, len(words) - 1)) AS pos, unnest(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS gram FROM docs),
-hits AS (SELECT DISTINCT rid, template, tpos, n_grams, label, base, pos - tpos AS diagonal FROM grams JOIN templates ON gram = tgram),
+hits AS (SELECT DISTINCT rid, template, tpos, n_grams, label, base, pos, pos - tpos AS diagonal FROM grams JOIN templates ON gram = tgram),
 votes AS (SELECT rid, template, n_grams, label, base, diagonal, count(*) AS n FROM hits GROUP BY ALL),
-marked AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY rid, template ORDER BY diagonal) > 3 THEN 1 ELSE 0 END AS far FROM votes),
-spans AS (SELECT *, sum(far) OVER (PARTITION BY rid, template ORDER BY diagonal) AS span FROM marked),
-shares AS (SELECT s.rid, s.label, s.template, s.span, count(DISTINCT h.tpos) / any_value(s.n_grams)::DOUBLE AS share
-           FROM spans s JOIN hits h ON s.rid = h.rid AND s.template = h.template AND s.diagonal = h.diagonal WHERE NOT s.base GROUP BY s.rid, s.label, s.template, s.span),
+spans AS (SELECT v.rid, v.template, v.diagonal, any_value(v.label) AS label, any_value(v.n_grams) AS n_grams,
+                 list(struct_pack(t := h.tpos::BIGINT, p := h.pos::BIGINT, n := 0::BIGINT) ORDER BY h.tpos, h.pos) AS places
+          FROM votes v JOIN hits h ON v.rid = h.rid AND v.template = h.template AND h.diagonal BETWEEN v.diagonal AND v.diagonal + {DRIFT}
+          WHERE NOT v.base GROUP BY v.rid, v.template, v.diagonal),
+shares AS (SELECT rid, label, list_reduce(places, lambda a, x: CASE WHEN x.t > a.t AND x.p > a.p THEN struct_pack(t := x.t, p := x.p, n := a.n + 1) ELSE a END,
+                                          struct_pack(t := -1::BIGINT, p := -1::BIGINT, n := 0::BIGINT)).n / n_grams::DOUBLE AS share FROM spans),
 notices AS (SELECT rid, list(DISTINCT label) AS labels, max(share) AS share FROM shares WHERE share >= 0.7 GROUP BY rid),
 phrases AS (SELECT rid, count(*) AS n_base, min(diagonal) AS first_word, max(diagonal) AS last_word, list(DISTINCT label) AS labels
             FROM votes WHERE base AND n = n_grams GROUP BY rid)

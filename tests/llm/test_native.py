@@ -104,6 +104,7 @@ def test_mixing_of_odd_rows(odd, nothing):
     assert times == +whole
 
 
+MIT = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"
 LICENSES = [
     (1, "Released under the MIT License. mit-license CC BY 4.0"),
     (2, "GNU General\tPublic; license and Apache\nLicense apache license"),
@@ -111,6 +112,9 @@ LICENSES = [
     (4, "cc by"),
     (5, "by cc, mit, license?"),
     (6, "Licensed under CC BY-NC 4.0."),
+    (7, " ".join(f"{a} {b} zz" for a, b in zip(MIT.split(), MIT.split()[1:], strict=False))),  # its pairs, but nowhere in one place
+    (8, " ".join(MIT.split()[i] for i in range(19, -1, -1))),
+    (9, f"a b c {MIT} x y {MIT.replace('free ', '')} z"),
 ]
 
 
@@ -119,7 +123,9 @@ def test_license_scan(spark):
     assert [(got[i].n_base, got[i].first_word, got[i].last_word, got[i].base_labels) for i in (1, 2, 3, 4, 5)] == [(3, 3, 7, "cc-by,mit"), (3, 0, 7, "apache,gpl"), (0, None, None, ""), (1, 0, 0, "cc-by"), (1, 2, 2, "mit")]
     assert got[3].labels == "mit-notice" and 0.7 <= got[3].score < 1
     assert got[6].labels == "cc-by,cc-by-nc" and got[6].score == 1.0
-    assert got[3].spans[0].start == 0
+    assert (got[3].spans[0].first, got[3].spans[0].last) == (0, 20)
+    assert [(got[i].labels, got[i].score, got[i].spans) for i in (7, 8)] == [("", 0.0, [])] * 2
+    assert [(s.label, s.first, s.last) for s in got[9].spans] == [("mit-notice", 3, 22), ("mit-notice", 25, 43)] and got[9].spans[0].share == 1.0 > got[9].spans[1].share
 
 
 def sql_rows(sql, docs):
