@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 from collections import Counter, defaultdict
 
 import duckdb
@@ -54,6 +55,37 @@ def test_runs_are_merged_by_level(spark):
     assert [len(x) for x in runs.levels] == [1, 0, 1]
     assert sorted(tuple(r) for r in runs.frequent().collect()) == [(1, 1), (3, 3)]
     runs.drop()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
+
+
+def test_merges_read_the_runs_in_order(spark):
+    """One sorted file a bucket: a merge of runs has no sort and no shuffle but that of its result's buckets."""
+    with line_dedup.LineRuns(spark, min_docs=3, fanout=4, buckets=4) as runs:
+        for n in range(3):
+            runs.add(spark.range(1000).selectExpr(f"id % {90 + n} AS h1", "id % 7 AS h2"))
+        assert runs.frequent().count() > 0
+        with line_dedup._sorted_scans(spark):
+            pair = runs._pair(*runs.runs()[:2])
+            n, plan = pair.count(), pair._jdf.queryExecution().executedPlan().toString()
+        assert n == len({(i % (90 + n), i % 7) for n in range(2) for i in range(1000)})
+        assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    assert spark.conf.get(line_dedup._IN_ORDER) == "false"
+
+
+def test_line_dedup_leaves_no_tables(spark, odd):
+    before = {t.name for t in spark.catalog.listTables()}
+    dedup_lines(odd, min_docs=2).count()
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_line_dedup_of_many_lines(spark):
+    """Texts of 50,000 lines, nearly all of them frequent: the work is linear in the lines."""
+    text = "\n".join(f"line {i}" for i in range(50_000))
+    docs = spark.createDataFrame([(i, f"{text}\nown {i}\nline 7 ") for i in range(3)], "doc_id long, text string")
+    began = time.perf_counter()
+    got = dedup_lines(docs, min_docs=3).collect()
+    assert {(r["__n_lines"], r["__n_dropped"], r["__kept"]) for r in got} == {(50_002, 50_001, f"own {i}") for i in range(3)}
+    assert time.perf_counter() - began < 60
 
 
 def targets(sizes, weights, budget):
