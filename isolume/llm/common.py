@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from isolume.functions.kernels import bound
 from isolume.storage import scratch_path, shared_dir, stored  # noqa: F401
 
 #: The white space that the contracts name: space, and \t \n \v \f \r.
@@ -38,3 +39,19 @@ def may_learn(doc_id: Column) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def running_sums(values: Column, chunk: int = 64) -> Column:
+    """array<bigint> of the sums up to each element. Sums of chunks first, so the work grows with chunk times the elements."""
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("bigint"), lambda n, x: n + x)
+
+    def of(vs: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.greatest(F.size(vs) - 1, F.lit(0)), F.lit(chunk)), lambda i: F.slice(vs, i + 1, chunk))
+
+        def joined(sums: Column) -> Column:
+            before = F.zip_with(parts, F.transform(sums, lambda _, i: total(F.slice(sums, 1, i))), lambda p, n: F.struct(p.alias("p"), n.alias("n")))
+            return F.flatten(F.transform(before, lambda b: F.transform(b["p"], lambda _, j: b["n"] + total(F.slice(b["p"], 1, j + 1)))))
+
+        return bound(F.transform(parts, total), joined)
+
+    return bound(values, of)

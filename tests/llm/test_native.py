@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from isolume.llm import line_dedup, queries, secret_scan
+from isolume.llm.common import running_sums
 from isolume.llm.license_scan import scan_licenses
 from isolume.llm.line_dedup import dedup_lines
 from isolume.llm.mixing import mix, mixed_documents
@@ -211,7 +212,8 @@ def test_secret_scan(spark, odd, nothing, monkeypatch):
     want = Counter((r.doc_id, tuple(plain_spans(r.text))) for r in docs.collect())
     got = lambda: Counter((r.doc_id, tuple(tuple(s) for s in r.found)) for r in scan_secrets(docs).collect())
     assert got() == want
-    monkeypatch.setattr(secret_scan, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(secret_scan, "BROADCAST_BLOCKS", -1)
+    monkeypatch.setattr(secret_scan, "PIECE", 5)  # every text is in pieces
     assert got() == want
     assert scan_secrets(nothing).count() == 0
     found = scan_secrets(docs).filter("doc_id = 2").select(spans_string(F.col("found")).alias("s")).first().s
@@ -226,6 +228,35 @@ def test_trigram_queries():
     assert trigram_query("a+bcd") == [frozenset({"bcd"})] and trigram_query("(abc)?x") == ANY and trigram_query("abc|x") == ANY
 
 
+def test_index_holds_every_trigram(spark):
+    """Of each text all trigrams, whether or not a rule asks for them; later rules are asked of the same index."""
+    texts = ["Hello", "ab", "", None, "日本語é", "x" * 10_000 + "needle"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    index = secret_scan.build_index(docs)
+    grams = {t[i : i + 3].lower() for t in texts if t for i in range(len(t) - 2)}
+    named = spark.createDataFrame([(g,) for g in grams], "g string").select(secret_scan._gram(F.col("g")).alias("n"))
+    assert {r.trigram for r in index.postings.collect()} == {r.n for r in named.collect()}
+    rule = Rule("pin", "needle|hello")
+    assert secret_scan.candidates(index, [rule]).count() == 1
+    found = {r.doc_id: [tuple(s) for s in r.found] for r in scan_secrets(docs, [rule], index).collect()}
+    assert found == {i: [(10_000, 0, 10_006, "pin")] if i == 5 else [] for i in range(6)}
+
+
+def test_spans_of_many_matches(spark):
+    """A text of 60,000 matches: spans are made in linear time."""
+    text = "é token=abcdef123 " * 60_000
+    began = time.perf_counter()
+    found = scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string"), RULES[:1]).first().found
+    assert [tuple(found[i]) for i in (0, 1, -1)] == [(2 + 18 * i, 0, 17 + 18 * i, "assign") for i in (0, 1, 59_999)] and len(found) == 60_000
+    assert time.perf_counter() - began < 45
+
+
+def test_running_sums(spark):
+    for n in (0, 1, 63, 64, 65, 1000):
+        got = spark.range(1).select(running_sums(F.array(*[F.lit(i * i) for i in range(n)]).cast("array<int>"), 8).alias("s")).first().s
+        assert got == [sum(j * j for j in range(i + 1)) for i in range(n)]
+
+
 def test_rules_of_ones_own(spark):
     docs = spark.createDataFrame([(1, "card 1234-5678 and 12-34")], "doc_id long, text string")
     assert [tuple(s) for s in scan_secrets(docs, [Rule("card", "[0-9]{4}-[0-9]{4}")]).first().found] == [(5, 0, 14, "card")]
