@@ -41,6 +41,28 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def unused(name: str, *taken: list[str]) -> str:
+    """The name, with underscores in front until no column has it (Spark's names ignore case)."""
+    low = {c.lower() for columns in taken for c in columns}
+    while name.lower() in low:
+        name = "_" + name
+    return name
+
+
+#: Bytes of input for each core below which rows are dealt out; files of one row group can't be split otherwise.
+SMALL = 8 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table of less than SMALL bytes for each core, dealt out to all cores; larger ones as they are.
+
+    At most SMALL bytes a core are shuffled, so this never grows with the data.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SMALL else df
+
+
 def running_sums(values: Column, chunk: int = 64) -> Column:
     """array<bigint> of the sums up to each element. Sums of chunks first, so the work grows with chunk times the elements."""
     total = lambda xs: F.aggregate(xs, F.lit(0).cast("bigint"), lambda n, x: n + x)

@@ -7,13 +7,13 @@ each of which starts from the zero state, so that many segments advance
 together; every byte of every text is read.
 
 The network is trained in numpy by backpropagation through time on windows of
-at most about SAMPLE documents (chosen by a hash of doc_id) outside the
-held-out fold.
+at most about SAMPLE documents (chosen by a hash of doc_id and text, and never more than
+twice as many, the first by that hash) outside the held-out fold.
 
 Defined results: a null text, and one without a letter, is `und` with score 0;
 without rows to learn from every text is; ties go to the language that sorts
 first; rows that repeat a doc_id are labelled apart. Columns other than doc_id,
-text and lang (to learn from) are not looked at.
+text and lang (to learn from) pass through, but those named as a result's column.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isolume.llm.common import may_learn
+from isolume.llm.common import may_learn, spread, unused
 from isolume.llm.textnp import buffers, pieces
 
 HIDDEN, SEGMENT, WINDOW = 8, 128, 64
@@ -175,10 +175,10 @@ def training_windows(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray,
     rows = docs.filter(may_learn(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") > 0))
     grain = 1 << 20
     share = min(grain, int(grain * sample / max(rows.count(), 1)) + 1)
-    rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(grain)) < share)
+    rows = rows.withColumn("h", F.xxhash64("doc_id", "text")).filter(F.pmod("h", F.lit(grain)) < share)
     starts = [F.pmod(F.xxhash64("doc_id", F.lit(i)), F.length("text")).cast("int") for i in range(WINDOWS)]
-    taken = rows.select("doc_id", "lang", *[F.substring("text", s + 1, F.lit(WINDOW)).alias(f"w{i}") for i, s in enumerate(starts)])
-    got = taken.limit(2 * sample).toPandas().sort_values(["doc_id", "w0"], kind="stable")
+    taken = rows.select("doc_id", "lang", "h", *[F.substring("text", s + 1, F.lit(WINDOW)).alias(f"w{i}") for i, s in enumerate(starts)])
+    got = taken.orderBy("h", "lang").limit(2 * sample).toPandas().sort_values(["doc_id", "w0"], kind="stable")
     texts, langs = [], []
     for i in range(WINDOWS):
         texts += [t.encode()[:WINDOW].ljust(WINDOW) for t in got[f"w{i}"]]
@@ -196,19 +196,19 @@ def identify(docs: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
     classes = sorted(set(langs))
     model = train(windows, np.array([classes.index(x) for x in langs]), len(classes)) if classes else None
     known = spark.sparkContext.broadcast((model, classes))
-    kept = [f for f in docs.schema.fields if f.name not in ("text", "lang")]
+    kept = [f for f in docs.schema.fields if f.name.lower() not in ("text", "lang", "lang_pred", "score")]
     names = [f.name for f in kept]
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, langs = known.value
         for batch in batches:
-            for part in pieces(np.diff(buffers(batch.column("text"))[1]), AT_ONCE):
+            for part in pieces(np.diff(buffers(batch.column(len(names)))[1]), AT_ONCE):
                 rows = batch.slice(part.start, part.stop - part.start)
-                letters = rows.column("__letters").to_numpy(zero_copy_only=False).astype(bool)
+                letters = rows.column(len(names) + 1).to_numpy(zero_copy_only=False).astype(bool)
                 if p is None:
                     best, share = [None] * rows.num_rows, np.zeros(rows.num_rows)
                 else:
-                    q = document_probabilities(rows.column("text"), p)
+                    q = document_probabilities(rows.column(len(names)), p)
                     best, share = [langs[i] for i in q.argmax(axis=1)], np.clip(q.max(axis=1), 0, 1)
                 pred = ["und" if not ok or x is None else x for ok, x in zip(letters.tolist(), best, strict=True)]
                 arrays = [*[rows.column(c) for c in names], pa.array(pred, pa.string()), pa.array(np.where(letters, share, 0.0))]
@@ -216,4 +216,5 @@ def identify(docs: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
 
     ddl = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], "lang_pred string", "score double"])
     has_letter = F.coalesce(F.regexp_like("text", F.lit("\\p{L}")), F.lit(False))
-    return docs.select(*names, "text", has_letter.alias("__letters")).mapInArrow(labelled, ddl)
+    letters = unused("__letters", names)
+    return spread(docs.select(*names, "text", has_letter.alias(letters))).mapInArrow(labelled, ddl)

@@ -3,8 +3,10 @@
 A payload is a text's UTF-8 bytes and zero bytes up to a positive multiple of
 64. It is stored as a PNG of 8-bit grey samples, 64 to a row. A task writes its
 members one after the other into an archive; a directory of (offset, length,
-checksum, doc_id, text bytes) and its place end the file. The writer's commit
-lists the archives in a manifest, so files of failed attempts are never read.
+checksum, doc_id, text bytes) and its place end the file. Beyond ARCHIVE bytes
+or MEMBERS members a task goes on in a new archive, so no directory grows with
+the input. The writer's commit lists the archives in a manifest, so files of
+failed attempts are never read.
 
 The reader plans byte ranges over the archives. A range's partition reads the
 archive's directory, takes the members that start in the range, reads them in
@@ -36,11 +38,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from isolume.llm.common import scratch_path
+from isolume.llm.common import scratch_path, spread
 
 FORMAT = "isolume_media"
 WIDTH = 64
 RETRIES = 3
+#: Bytes and members beyond which an archive is closed.
+ARCHIVE, MEMBERS = 64 << 20, 100_000
 #: Bytes of a partition's range, and of members that are read and sent at once.
 RANGE, RUN = 16 << 20, 4 << 20
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -93,54 +97,67 @@ def _open(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
 
 
 @dataclass
-class Archive(WriterCommitMessage):
-    path: str
-    size: int
-    members: int
+class Archives(WriterCommitMessage):
+    """(file name, bytes of its members, their number) of each archive that a task has written."""
+
+    written: list[tuple[str, int, int]]
 
 
 class ArchiveWriter(DataSourceArrowWriter):
-    """Writes one archive for each task and a manifest of those that were committed."""
+    """Writes archives, one after the other in each task, and a manifest of those that were committed."""
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, most_bytes: int = ARCHIVE, most_members: int = MEMBERS):
+        self.path, self.most_bytes, self.most_members = path, most_bytes, most_members
 
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> Archive:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Archives:
         files, root = _open(self.path)
         files.create_dir(root, recursive=True)
-        name = f"{uuid.uuid4().hex}.arc"
+        members = self._members(iterator)
+        written, media = [], next(members, None)
+        while media is not None or not written:
+            name, media, size, count = self._archive(files, root, media, members)
+            written.append((name, size, count))
+        return Archives(written)
+
+    def _members(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, int, bytes]]:
+        """(doc_id, bytes of the text, its picture) of each row."""
+        for batch in batches:
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), pc.fill_null(batch.column("text").cast(pa.large_binary()), b""), strict=True):
+                body = text.as_py()
+                yield doc_id, len(body), encode_png(payload_of(body))
+
+    def _archive(self, files: pyarrow.fs.FileSystem, root: str, member: tuple | None, members: Iterator[tuple]) -> tuple[str, tuple | None, int, int]:
+        """Writes members until the archive is full; returns its name, the next member, the members' bytes and number."""
+        name, at = f"{uuid.uuid4().hex}.arc", 0
         rows: dict[str, list] = {n: [] for n in _DIRECTORY.names}
-        at = 0
         with files.open_output_stream(f"{root}/{name}") as out:
-            for batch in iterator:
-                for doc_id, text in zip(batch.column("doc_id").to_pylist(), pc.fill_null(batch.column("text").cast(pa.large_binary()), b""), strict=True):
-                    body = text.as_py()
-                    media = encode_png(payload_of(body))
-                    out.write(media)
-                    for field, value in zip(_DIRECTORY.names, (at, len(media), zlib.crc32(media), doc_id, len(body)), strict=True):
-                        rows[field].append(value)
-                    at += len(media)
-            table = pa.table(rows, schema=_DIRECTORY)
+            while member is not None and at < self.most_bytes and len(rows["offset"]) < self.most_members:
+                doc_id, n_bytes, media = member
+                out.write(media)
+                for field, value in zip(_DIRECTORY.names, (at, len(media), zlib.crc32(media), doc_id, n_bytes), strict=True):
+                    rows[field].append(value)
+                at += len(media)
+                member = next(members, None)
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, _DIRECTORY) as stream:
-                stream.write_table(table)
+                stream.write_table(pa.table(rows, schema=_DIRECTORY))
             directory = sink.getvalue().to_pybytes()
             out.write(directory)
             out.write(_END.pack(at, len(directory), _MARK))
-        return Archive(name, at, len(table))
+        return name, member, at, len(rows["offset"])
 
-    def commit(self, messages: list[Archive | None]) -> None:
+    def commit(self, messages: list[Archives | None]) -> None:
         files, root = _open(self.path)
         files.create_dir(root, recursive=True)
-        listed = "".join(json.dumps([m.path, m.size, m.members]) + "\n" for m in messages if m is not None)
+        listed = "".join(json.dumps(x) + "\n" for m in messages if m is not None for x in m.written)
         with files.open_output_stream(f"{root}/_manifest") as out:
             out.write(listed.encode())
 
-    def abort(self, messages: list[Archive | None]) -> None:
+    def abort(self, messages: list[Archives | None]) -> None:
         files, root = _open(self.path)
         for m in messages:
-            if m is not None:
-                files.delete_file(f"{root}/{m.path}")
+            for name, _, _ in m.written if m is not None else ():
+                files.delete_file(f"{root}/{name}")
 
 
 @dataclass
@@ -220,7 +237,7 @@ class ArchiveReader(DataSourceReader):
 
 
 class MediaSource(DataSource):
-    """format("isolume_media"): options path and range (bytes of a partition)."""
+    """format("isolume_media"): options path, range (bytes of a partition), and archive and members (the most of an archive)."""
 
     @classmethod
     def name(cls) -> str:
@@ -233,7 +250,7 @@ class MediaSource(DataSource):
         return ArchiveReader(self.options["path"], int(self.options.get("range", RANGE)))
 
     def writer(self, schema, overwrite: bool) -> ArchiveWriter:
-        return ArchiveWriter(self.options["path"])
+        return ArchiveWriter(self.options["path"], int(self.options.get("archive", ARCHIVE)), int(self.options.get("members", MEMBERS)))
 
 
 def describe(samples: np.ndarray) -> str:
@@ -260,9 +277,10 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *columns], ["doc_id", "n_bytes", *names])
 
 
-def write_archives(docs: DataFrame, path: str) -> str:
+def write_archives(docs: DataFrame, path: str, archive: int = ARCHIVE, members: int = MEMBERS) -> str:
     docs.sparkSession.dataSource.register(MediaSource)
-    docs.select(F.col("doc_id").cast("long"), "text").write.format(FORMAT).mode("append").save(path)
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    rows.write.format(FORMAT).option("archive", archive).option("members", members).mode("append").save(path)
     return path
 
 
@@ -274,6 +292,6 @@ def read_archives(spark, path: str, span: int = RANGE) -> DataFrame:
 
 def media_features(docs: DataFrame) -> DataFrame:
     """Stores every row's payload, reads it back and describes it; a member that can't be read fails its task."""
-    path = write_archives(docs, scratch_path(docs.sparkSession, "media"))
+    path = write_archives(spread(docs), scratch_path(docs.sparkSession, "media"))
     ddl = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     return read_archives(docs.sparkSession, path).mapInArrow(_described, ddl)

@@ -19,7 +19,9 @@ classes come out, fewer than it has members. A first round compares within
 blocks; the blocks of a large bucket differ from band to band, so large groups
 of copies join in linear work. The second round makes up what is left: in
 buckets of several blocks, members that are still in different classes are
-compared block by block. No link is lost to a cap, and no pairs are listed.
+compared block by block; the meetings of a bucket's blocks are dealt out to as
+many tasks as it has groups of SALT blocks. No link is lost to a cap, and no
+pairs of rows are listed.
 
 Defined results: null texts and texts without a word stand alone; texts of one
 to four words are one shingle; rows that repeat a doc_id or a text share a
@@ -33,10 +35,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from isolume.llm.common import fingerprint, same_row, stored
+from isolume.llm.common import fingerprint, same_row, spread, stored, unused
 from isolume.operators.components import components
 from isolume.llm.textnp import bags, buffers, mix, pieces
 
@@ -46,6 +48,8 @@ BANDS, ROWS = 25, 5
 PLACES = BANDS * ROWS
 #: Members of a bucket that are compared with each other, or with as many others, at once.
 BLOCK = 256
+#: Blocks of a bucket whose meetings with all its blocks are listed by one task.
+SALT = 16
 #: Elements of a block whose columns are held at once.
 COLUMNS = 1 << 14
 #: Bytes of text that are held as arrays at once.
@@ -254,7 +258,7 @@ def _bags(rows: DataFrame, reps: DataFrame, nodes: DataFrame) -> DataFrame:
 def near_classes(docs: DataFrame) -> DataFrame:
     """Returns for every row of docs: doc_id, fp (of its text), root (its class; null if it stands alone without words)."""
     rows = docs.select(F.col("doc_id").cast("long"), "text", fingerprint(F.col("text")).alias("fp"))
-    signed = stored(rows.mapInArrow(_sign_batches, _SIGNED_DDL), "near_signed")
+    signed = stored(spread(rows).mapInArrow(_sign_batches, _SIGNED_DDL), "near_signed")
     node = signed.filter(F.col("node").isNotNull()).groupBy("node")
     reps = stored(node.agg(F.min(F.struct("doc_id", "fp")).alias("row"), F.first("bands").alias("bands")).select("node", "row.doc_id", "row.fp", "bands"), "near_nodes")
 
@@ -282,11 +286,13 @@ def near_classes(docs: DataFrame) -> DataFrame:
     count = F.ceil(F.coalesce("n", "small") / BLOCK)
     open_ = open_.select("band", "node", "root", whose.alias("whose"), F.pmod(F.xxhash64("node"), count).cast("int").alias("part"))
     open_ = stored(open_, "near_open")
-    per_block = open_.select("band", "whose", "part").distinct()
-    a = per_block.select("band", F.col("whose").alias("whose_a"), F.col("part").alias("part_a"))
-    b = per_block.select("band", F.col("whose").alias("whose_b"), F.col("part").alias("part_b"))
+    per_block = stored(open_.select("band", "whose", "part").distinct(), "near_blocks")
+    salts = per_block.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / SALT).alias("salts"))
+    per_block = per_block.join(salts, "band")
+    a = per_block.select("band", F.col("whose").alias("whose_a"), F.col("part").alias("part_a"), F.pmod(F.xxhash64("whose", "part"), "salts").alias("salt"))
+    b = per_block.select("band", F.col("whose").alias("whose_b"), F.col("part").alias("part_b"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"))
     in_order = F.struct("whose_a", "part_a") <= F.struct("whose_b", "part_b")
-    meet = a.join(b, "band").filter(in_order & ((F.col("whose_a") == shared) | (F.col("whose_a") != F.col("whose_b"))))
+    meet = a.join(b, ["band", "salt"]).drop("salt").filter(in_order & ((F.col("whose_a") == shared) | (F.col("whose_a") != F.col("whose_b"))))
     meet = stored(meet.withColumn("key", F.xxhash64("band", "whose_a", "part_a", "whose_b", "part_b")), "near_meet")
     itself = (F.col("whose_a") == F.col("whose_b")) & (F.col("part_a") == F.col("part_b"))
     sides = meet.select("band", "key", F.lit(0).alias("side"), F.col("whose_a").alias("whose"), F.col("part_a").alias("part"))
@@ -309,13 +315,19 @@ def classes_of(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each class, that of the least doc_id; rows that stand alone stay."""
+    """docs with one row of each class, that of the least doc_id; rows that stand alone stay.
+
+    Of rows equal in doc_id and text that with the least hash of all its columns stays, so reruns agree.
+    """
     found = stored(near_classes(docs), "near_found")
     first = found.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("row")).select("row.*")
     alone = found.filter(F.col("root").isNull()).select("doc_id", "fp").distinct().withColumn("alone", F.lit(True))
     stay = first.withColumn("alone", F.lit(False)).unionByName(alone)
-    marked = docs.withColumn("__fp", fingerprint(F.col("text")))
-    joined = marked.join(stay, marked["doc_id"].cast("long").eqNullSafe(stay["doc_id"]) & (marked["__fp"] == stay["fp"]))
-    joined = joined.select(*[marked[c] for c in marked.columns], stay["alone"].alias("__alone"))
-    classed = joined.filter(~F.col("__alone")).dropDuplicates(["doc_id", "__fp"])
-    return classed.unionByName(joined.filter("__alone")).drop("__fp", "__alone")
+    of, single, turn = (unused(n, docs.columns, stay.columns) for n in ("__fp", "__alone", "__turn"))
+    stay = stay.select(F.col("doc_id").alias(unused("__stays", docs.columns)), F.col("fp").alias(unused("__stays_fp", docs.columns)), F.col("alone").alias(single))
+    marked = docs.withColumn(of, fingerprint(F.col("text")))
+    joined = marked.join(stay, marked["doc_id"].cast("long").eqNullSafe(stay[stay.columns[0]]) & (marked[of] == stay[stay.columns[1]]))
+    joined = joined.select(*[marked[c] for c in marked.columns], single)
+    every = F.xxhash64(*[F.to_json(F.struct(c)) if "map<" in kind else F.col(c) for c, kind in docs.dtypes])
+    classed = joined.filter(~F.col(single)).withColumn(turn, F.row_number().over(Window.partitionBy("doc_id", of).orderBy(every)))
+    return classed.filter(F.col(turn) == 1).select(*docs.columns).unionByName(joined.filter(single).select(*docs.columns))

@@ -23,12 +23,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from isolume.llm.common import fingerprint, stored
+from isolume.llm.common import fingerprint, stored, unused
 
-#: Buckets of the shuffle within a source: the first three hexadecimal digits.
-BUCKET_DIGITS = 3
-#: Ranges of the merged order up to the level where the queues stop, and the most ranges there are.
-RANGES, MOST_RANGES = 2048, 32768
+#: Rows of a bucket or a range, about, and the fewest ranges. One task sorts a range; their number grows with the rows.
+SORTED, RANGES = 1 << 18, 2048
 
 
 def word_count(text: Column) -> Column:
@@ -64,16 +62,19 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), budget: float = 1.5
     """Returns for every row of docs: doc_id, source, fp (of its text), size, source_size, target, taken.
 
     budget: times the words of all documents; repeat: the most passes over a document. The shuffle is an md5
-    of the seed and doc_id, so reruns agree.
+    of the seed and doc_id (of the text, where that is null), so reruns agree.
     """
     rows = docs.select(
         "doc_id",
         "source",
         fingerprint(F.col("text")).alias("fp"),
         word_count(F.col("text")).alias("size"),
-        F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("at"),
+        F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")))))).alias("at"),
     )
-    rows = stored(rows, "mix_sizes").withColumn("bucket", F.substring("at", 1, BUCKET_DIGITS))
+    rows = stored(rows, "mix_sizes")
+    ranges_ = max(RANGES, rows.count() // SORTED)
+    digits = len(f"{ranges_:x}")  # at least 4,096 buckets a source
+    rows = rows.withColumn("bucket", F.substring("at", 1, digits))
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     sums = stored(sums, "mix_buckets")
     src = stored(source_targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, budget, repeat), "mix_sources")
@@ -92,11 +93,11 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), budget: float = 1.5
     queued = queued.select("doc_id", rows["source"], rows["bucket"], "n", "fp", "size", "at", "source_size", "weight", "target", (F.col("before") + F.col("upto")).alias("upto"))
     items = queued.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(repeat - 1))))
     items = items.withColumn("finish", (F.col("round") * F.col("source_size") + F.col("upto")) / F.col("weight"))
-    items = items.withColumn("range", F.least(F.floor(F.col("finish") / F.lit(level) * RANGES), F.lit(MOST_RANGES)))
+    items = items.withColumn("range", F.least(F.floor(F.col("finish") / F.lit(level) * ranges_), F.lit(16 * ranges_)))
     items = stored(items.select("doc_id", "source", "bucket", "n", "fp", "size", "at", "source_size", "target", "round", "finish", "range"), "mix_items")
 
     before_range = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = items.groupBy("range").agg(F.sum("size").alias("words"))  # at most MOST_RANGES + 1 rows
+    ranges = items.groupBy("range").agg(F.sum("size").alias("words"))  # a row for each SORTED rows, times 16 at most
     ranges = ranges.withColumn("ahead", F.coalesce(F.sum("words").over(before_range), F.lit(0))).drop("words")
     placed = items.join(F.broadcast(ranges), "range")
     in_order = Window.partitionBy("range").orderBy("finish", F.col("source").asc_nulls_last(), "round", "at", "n").rowsBetween(Window.unboundedPreceding, -1)
@@ -113,13 +114,14 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), budget:
     Rows that are equal in doc_id, source and text share what they are taken, the first of them one more.
     """
     taken = mix(docs, weights, budget, repeat, seed)
-    each = taken.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("fp").alias("__of")).agg(
-        F.sum(F.expr("if(size > 0, taken div size, 0)")).alias("__times"), F.count(F.lit(1)).alias("__copies")
+    id_, src, of, times, copies, own, turn, n, pass_ = (unused(x, docs.columns) for x in ("__id", "__source", "__of", "__times", "__copies", "__fp", "__turn", "__n", "__pass"))
+    each = taken.groupBy(F.col("doc_id").alias(id_), F.col("source").alias(src), F.col("fp").alias(of)).agg(
+        F.sum(F.expr("if(size > 0, taken div size, 0)")).alias(times), F.count(F.lit(1)).alias(copies)
     )
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__fp") == F.col("__of"))
-    joined = docs.withColumn("__fp", fingerprint(F.col("text"))).join(each.filter("__times > 0"), same)
-    turn = F.row_number().over(Window.partitionBy("doc_id", "source", "__fp").orderBy(F.lit(0)))
-    joined = joined.withColumn("__turn", turn)
-    times = F.expr("cast(__times div __copies as int) + if(__turn <= __times % __copies, 1, 0)")
-    joined = joined.withColumn("__n", times).filter("__n > 0")
-    return joined.withColumn("__pass", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & F.col("source").eqNullSafe(F.col(src)) & (F.col(own) == F.col(of))
+    joined = docs.withColumn(own, fingerprint(F.col("text"))).join(each.filter(F.col(times) > 0), same)
+    every = F.xxhash64(*[F.to_json(F.struct(c)) if "map<" in kind else F.col(c) for c, kind in docs.dtypes])
+    joined = joined.withColumn(turn, F.row_number().over(Window.partitionBy("doc_id", "source", own).orderBy(every)))
+    share = F.floor(F.col(times) / F.col(copies)).cast("int") + (F.col(turn) <= F.col(times) % F.col(copies)).cast("int")
+    joined = joined.withColumn(n, share).filter(F.col(n) > 0)
+    return joined.withColumn(pass_, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)

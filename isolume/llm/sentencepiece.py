@@ -7,8 +7,13 @@ are scored by rank after Zipf and Mandelbrot. Bytes that no piece covers become
 others. Texts are cut where no piece can reach across (before runs of blanks,
 around bytes that are in no piece), equal units are done once, and units of
 equal length advance together: hashes of their substrings probe the sorted
-piece keys and vectorised maxima store the backpointers. Decoding joins the
-pieces' bytes; every text is decoded and compared, so results are lossless.
+piece keys and vectorised maxima store the backpointers. Scores are integers, so
+sums are exact. A unit longer than LONG is cut into stretches, which advance
+together too: each starts WARM bytes early from a frontier of its own. Where the
+scores around a cut differ from those of the stretch before by one constant, all
+later choices are the same as in one search over the whole unit; otherwise that
+stretch is done again from the true frontier. Decoding joins the pieces' bytes;
+every text is decoded and compared, so results are lossless.
 
 Defined results: null and empty texts have no tokens and decode to the empty
 text; between segmentations of equal score the one whose last piece is shorter
@@ -26,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from isolume.llm.common import spread
 from isolume.llm.textnp import buffers, mix, pieces
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -34,6 +40,12 @@ AT_ONCE = 4 << 20
 REMEMBERED = 1_000_000
 #: Scores of models whose own are merge ranks: log-probabilities after Zipf and Mandelbrot, -log(SHIFT + rank).
 SHIFT = 100
+#: Units beyond LONG bytes advance in stretches of STRETCH bytes, each WARM bytes early; WARM is above the longest piece.
+LONG, STRETCH, WARM = 384, 256, 128
+#: Stretches that advance together.
+TOGETHER = 4096
+#: Scores are held in so many parts of 1; NEVER is below all sums.
+GRAIN, NEVER = 1 << 20, -(1 << 62)
 _U = np.uint64
 _P = 0x9E3779B97F4A7C15
 #: Slots that say whether some piece has such a hash; the top 20 bits of a product.
@@ -52,7 +64,7 @@ class Vocabulary:
     key_score: np.ndarray
     lengths: list[int]
     byte_id: np.ndarray
-    byte_score: float
+    byte_score: int
     apart: np.ndarray
     seen: np.ndarray
 
@@ -98,27 +110,34 @@ def load(path: str = MODEL) -> Vocabulary:
     score = np.array([s for _, _, s in found])
     if score.min() < -100:  # merge ranks; log-probabilities of pieces are well above
         score = -np.log(SHIFT + np.minimum(-score, len(names)))
+    score = np.round(score * GRAIN).astype(np.int64)
+    if max(size) >= WARM:
+        raise ValueError(f"a model is needed whose pieces have less than {WARM} bytes")
     return Vocabulary(
         np.frombuffer(b"".join(names), np.uint8), np.cumsum(size) - size, size, keys[order], np.array([i for _, i, _ in found])[order],
-        score[order], sorted({len(p) for p, _, _ in found}), byte_id, score.min() - 10.0, apart, seen,
+        score[order], sorted({len(p) for p, _, _ in found}), byte_id, int(score.min()) - 10 * GRAIN, apart, seen,
     )
 
 
-def viterbi(words: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Words of one length (words x bytes) to (ids in one array, tokens of each word)."""
+def _advance(words: np.ndarray, v: Vocabulary, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(best sums, last piece, its bytes) at every place (places x words) of words of one length (words x bytes).
+
+    before: sums at the first places, known already (places x words); else only the first one, 0.
+    """
     n, length = words.shape
-    best = np.full((length + 1, n), -np.inf)
-    best[0] = 0
-    token, back = np.zeros((length + 1, n), np.int32), np.zeros((length + 1, n), np.int32)
+    lead = 0 if before is None else len(before) - 1
+    best = np.full((length + 1, n), NEVER, np.int64)
+    best[: lead + 1] = 0 if before is None else before
+    token, back = np.zeros((length + 1, n), np.int32), np.zeros((length + 1, n), np.uint8)
     # The hash of a stretch is built leftwards from its end, as _hash does from its start: h(i, j) = h(i+1, j) + (b_i + 1) P^(j-1-i).
     power = np.full(max(v.lengths) + 1, _P, _U)
     power[0] = 1
     power = np.cumprod(power)
     columns = words.T.astype(_U) + _U(1)
     known = set(v.lengths)
-    for end in range(1, length + 1):
+    for end in range(lead + 1, length + 1):
         top = best[end - 1] + v.byte_score
-        take, step = v.byte_id[words[:, end - 1]].astype(np.int32), np.ones(n, np.int32)
+        take, step = v.byte_id[words[:, end - 1]].astype(np.int32), np.ones(n, np.uint8)
         h = np.zeros(n, _U)
         for size in range(1, min(end, v.lengths[-1]) + 1):
             h = h + columns[end - size] * power[size - 1]
@@ -136,7 +155,14 @@ def viterbi(words: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
             some, at = some[better], at[better]
             top[some], take[some], step[some] = total[better], v.key_id[at], size
         best[end], token[end], back[end] = top, take, step
-    at, row, steps = np.full(n, length), np.arange(n), []
+    return best, token, back
+
+
+def viterbi(words: np.ndarray, v: Vocabulary, live: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Words (words x bytes) to (ids in one array, tokens of each word); live: their lengths, if they aren't all whole."""
+    n, length = words.shape
+    _, token, back = _advance(words, v)
+    at, row, steps = (np.full(n, length) if live is None else live.copy()), np.arange(n), []
     while len(row):
         steps.append((row, token[at, row]))
         at = at - back[at, row]
@@ -150,6 +176,39 @@ def viterbi(words: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     return ids, count
 
 
+def viterbi_long(data: np.ndarray, v: Vocabulary) -> np.ndarray:
+    """Ids of one unit of more than LONG bytes: what viterbi gives, in stretches that advance together."""
+    n, reach = len(data), v.lengths[-1]
+    token, back = np.zeros(n + 1, np.int32), np.zeros(n + 1, np.uint8)
+    width = STRETCH + WARM
+    cut = np.arange(0, n, STRETCH)
+    start = np.clip(cut - WARM, 0, n - width)
+    stop = np.minimum(cut + STRETCH, n)
+    front = None  # sums at the last places before a cut, less the last of them
+    again: dict[tuple[bytes, bytes], tuple] = {}
+    for first in range(0, len(cut), TOGETHER):
+        some = slice(first, first + TOGETHER)
+        best, tokens, backs = _advance(data[start[some][:, None] + np.arange(width)], v)
+        for i, (a, b, c) in enumerate(zip(start[some].tolist(), cut[some].tolist(), stop[some].tolist(), strict=True)):
+            own = best[b - a - reach + 1 : b - a + 1, i]
+            if b == 0 or np.array_equal(own - own[-1], front):
+                token[b + 1 : c + 1], back[b + 1 : c + 1] = tokens[b - a + 1 : c - a + 1, i], backs[b - a + 1 : c - a + 1, i]
+                front = best[c - a - reach + 1 : c - a + 1, i]
+            else:
+                part = data[b - reach + 1 : c]
+                key = part.tobytes(), front.tobytes()
+                if key not in again:  # texts that repeat themselves come back to the same frontiers
+                    sums, ids, sizes = (x[:, 0] for x in _advance(part[None, :], v, front[:, None]))
+                    again[key] = sums[len(sums) - reach :].copy(), ids[reach:].copy(), sizes[reach:].copy()
+                front, token[b + 1 : c + 1], back[b + 1 : c + 1] = again[key]
+            front = front - front[-1]
+    ids, at = [], n
+    while at:
+        ids.append(token[at])
+        at -= int(back[at])
+    return np.array(ids[::-1], np.int32)
+
+
 def _stretches(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Indices of consecutive stretches, one after the other."""
     return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
@@ -177,8 +236,18 @@ class Codec:
         """Encodes units, one of each key, in groups of one length."""
         parts, counts = [], np.zeros(len(keys), np.int64)
         order = np.argsort(size, kind="stable")
-        for group in np.split(order, np.flatnonzero(np.diff(size[order])) + 1):
-            ids, n = viterbi(data[start[group][:, None] + np.arange(size[group[0]])], self.v)
+        # Short units advance with those of their length; longer ones are few, so each takes the width of its group.
+        wide = np.where(size <= 32, size, -(-size // 32) * 32)
+        ends = np.flatnonzero(np.diff(wide[order])) + 1
+        for group in np.split(order, ends):
+            if size[group[0]] > LONG:
+                for i in group.tolist():
+                    parts.append(viterbi_long(data[start[i] : start[i] + size[i]], self.v))
+                    counts[i] = len(parts[-1])
+                continue
+            live, across = size[group], np.arange(wide[group[0]])
+            at = np.where(across < live[:, None], start[group][:, None] + across, 0)
+            ids, n = viterbi(data[at], self.v, live)
             parts.append(ids)
             counts[group] = n
         begin = np.empty(len(keys), np.int64)
@@ -188,8 +257,8 @@ class Codec:
         self.known, self.at, self.n = known[by], np.concatenate([self.at, begin])[by], np.concatenate([self.n, counts])[by]
         self.ids = np.concatenate([self.ids, *parts])
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids in one array, tokens of each text)."""
+    def encode(self, texts: pa.Array, named: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """(ids in one array, tokens of each text). named: equal units, told by a hash, are done once."""
         raw, offsets = buffers(texts)
         size = np.diff(offsets)
         some = size > 0
@@ -202,7 +271,9 @@ class Codec:
         data[inside] = raw
         unit = self._units(data, starts)
         width = np.diff(np.append(unit, len(data)))
-        key = self._keys(data, unit, width)
+        if not named:
+            self._forget()
+        key = self._keys(data, unit, width) if named else np.arange(len(unit)).astype(_U)
         fresh, first = np.unique(key, return_index=True)
         new = ~np.isin(fresh, self.known, assume_unique=True)
         if len(self.known) + new.sum() > REMEMBERED and len(self.known):
@@ -235,14 +306,19 @@ class Codec:
         return data[inside], offsets - np.concatenate([[0], np.cumsum(some)])
 
     def encode_exact(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """encode and decode; raises unless the texts come back."""
+        """encode and decode; raises unless the texts come back.
+
+        Two units of one name would spoil a text: then what was remembered is forgotten, and at last no names are used.
+        """
         raw, offsets = buffers(texts)
-        for _ in range(2):
-            ids, count = self.encode(texts)
+        for named in (True, True, False):
+            ids, count = self.encode(texts, named)
             data, at = self.decode(ids, count)
             if np.array_equal(at, offsets) and np.array_equal(data, raw):
+                if not named:
+                    self._forget()
                 return ids, count, data, at
-            self._forget()  # two units of one name
+            self._forget()
         raise ValueError("a text did not come back")
 
 
@@ -265,7 +341,7 @@ def encode_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(count), _lists(ids, count), pa.array(digest)], ["doc_id", "n_tokens", "ids", "decoded_sha256"])
 
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(encoded, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string")
+    return spread(rows).mapInArrow(encoded, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string")
 
 
 def decode_documents(tokens: DataFrame, model: str = MODEL) -> DataFrame:

@@ -30,7 +30,7 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 
 OP5 = r"""
 WITH docs AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-                     md5('mix' || coalesce(doc_id::VARCHAR, '')) AS shuffled FROM documents),
+                     md5('mix' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))) AS shuffled FROM documents),
 sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source),
 weighed AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight FROM sizes),
 filled AS (SELECT *, source_size * 2 AS full_size, (source_size * 2)::DOUBLE / weight AS full_at FROM weighed),

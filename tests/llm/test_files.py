@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -31,17 +32,75 @@ def vocabulary():
 @needs_model
 def test_viterbi_equals_plain_search(vocabulary):
     v = vocabulary
-    score = {v.data[v.start[i] : v.start[i] + v.size[i]].tobytes(): (s, i) for i, s in zip(v.key_id.tolist(), v.key_score.tolist(), strict=True)}
     for word in [b" tokenization", b" unbelievably", "  größer".encode(), b"\n\nx", "日本語".encode(), bytes([0xE2, 0x96, 0x81]), b" " + b"a" * 70]:
-        best = [(0.0, [])]
-        for end in range(1, len(word) + 1):
-            offers = [(best[end - 1][0] + v.byte_score, [*best[end - 1][1], int(v.byte_id[word[end - 1]])])]
-            offers += [(best[i][0] + s, [*best[i][1], t]) for i in range(end) for s, t in [score.get(word[i:end], (None, 0))] if s is not None]
-            best.append(max(offers, key=lambda o: o[0]))
         ids, n = pieces.viterbi(np.frombuffer(word, np.uint8)[None, :], v)
-        total = sum(score[v.data[v.start[i] : v.start[i] + v.size[i]].tobytes()][0] if i in set(v.key_id.tolist()) else v.byte_score for i in ids.tolist())
-        assert total == pytest.approx(best[-1][0]) and n.tolist() == [len(ids)]
-        assert b"".join(v.data[v.start[i] : v.start[i] + v.size[i]].tobytes() for i in ids.tolist()) == word
+        assert ids.tolist() == plain(v, word) and n.tolist() == [len(ids)]
+
+
+_SCORES = {}
+
+
+def plain(v, word):
+    """Ids of the best segmentation by dynamic programming over the whole word; of equal ones that with the shorter last piece."""
+    score = _SCORES.get(id(v)) or _SCORES.setdefault(id(v), {v.data[v.start[i] : v.start[i] + v.size[i]].tobytes(): (s, i) for i, s in zip(v.key_id.tolist(), v.key_score.tolist(), strict=True)})
+    best = [(0, 0, -1)]
+    for end in range(1, len(word) + 1):
+        offers = [(best[end - 1][0] + v.byte_score, 1, int(v.byte_id[word[end - 1]]))]
+        offers += [(best[end - k][0] + s, k, t) for k in range(1, min(end, v.lengths[-1]) + 1) for s, t in [score.get(word[end - k : end], (None, 0))] if s is not None]
+        best.append(max(offers, key=lambda o: o[0]))
+    out, at = [], len(word)
+    while at:
+        out.append(best[at][2])
+        at -= best[at][1]
+    return out[::-1]
+
+
+@needs_model
+def test_words_that_advance_together(vocabulary):
+    rnd = random.Random(3)
+    words = [" " + "".join(rnd.choice("etaoin shrdlu".replace(" ", "")) for _ in range(rnd.randint(1, 90))) for _ in range(300)]
+    words += ["".join(rnd.choice("日本語処理の東京éß") for _ in range(rnd.randint(1, 60))) for _ in range(60)]
+    ids, count = pieces.Codec(vocabulary).encode(pa.array([w.strip() + "" for w in words]))
+    at = np.concatenate([[0], np.cumsum(count)])
+    for w, a, b in zip(words, at[:-1], at[1:], strict=True):
+        assert ids[a:b].tolist() == plain(vocabulary, b" " + w.strip().encode())
+
+
+@needs_model
+@pytest.mark.parametrize("kind", ["base64", "words", "one letter", "period of three", "Japanese"])
+def test_long_units_equal_plain_search(vocabulary, kind):
+    """Texts without a blank, of lengths around the stretches' ends."""
+    rnd = random.Random(len(kind))
+    letters = {"base64": "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", "one letter": "a", "Japanese": "日本語処理の東京タワー"}
+    for n in (385, 512, 640, 2000, 5003):
+        if kind == "words":
+            text = "".join(rnd.choice(["the", "and", "station", "water", "international", "Xq"]) for _ in range(n // 5))
+        elif kind == "period of three":
+            text = ("=-~" * n)[:n]
+        else:
+            text = "".join(rnd.choice(letters[kind]) for _ in range(n))
+        raw = np.frombuffer(text.encode(), np.uint8)
+        if len(raw) > pieces.LONG:
+            assert pieces.viterbi_long(raw, vocabulary).tolist() == plain(vocabulary, raw.tobytes())
+
+
+@needs_model
+def test_a_million_bytes_without_a_blank(vocabulary):
+    rnd = np.random.default_rng(1)
+    noise = rnd.choice(np.frombuffer(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", np.uint8), 1_000_000).tobytes().decode()
+    texts = pa.array([noise, "=" * 1_000_000])
+    began = time.perf_counter()
+    pieces.Codec(vocabulary).encode_exact(texts)
+    assert time.perf_counter() - began < 60
+
+
+@needs_model
+def test_units_of_one_name(vocabulary, monkeypatch):
+    """Where names collide, texts are searched without them."""
+    texts = pa.array(["one two", "three four five"])
+    want = pieces.Codec(vocabulary).encode(texts)[0].tolist()
+    monkeypatch.setattr(pieces.Codec, "_keys", lambda self, data, unit, width: np.zeros(len(unit), np.uint64))
+    assert pieces.Codec(vocabulary).encode_exact(texts)[0].tolist() == want
 
 
 @needs_model
@@ -145,6 +204,26 @@ def test_near_duplicates_equal_all_pairs(spark, monkeypatch, block):
     assert sorted(r.doc_id for r in keep_one(docs).collect()) == sorted(set(want.values()))
 
 
+def test_kept_rows_are_the_same_each_time(spark):
+    """Rows equal in doc_id and text differ in other columns, some named like the operator's own."""
+    rows = [(1, "a b c d e f g h", f"s{i}", i) for i in range(20)] + [(2, "a b c d e f g h", "s", 0), (3, None, "t", 1), (3, None, "t", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, __fp int").withColumn("__alone", F.lit("x")).withColumn("tags", F.create_map(F.lit("k"), "source"))
+    kept = [sorted(map(str, keep_one(docs.repartition(n)).collect())) for n in (1, 5)]
+    assert kept[0] == kept[1] and len(kept[0]) == 3 and keep_one(docs).columns == docs.columns
+
+
+def test_wide_buckets_of_unlike_texts(spark, monkeypatch):
+    """Many texts that share a bucket but not a class: their blocks meet by salted joins, and no link is lost."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 2)
+    monkeypatch.setattr(minhash_dedup, "SALT", 2)
+    rnd = random.Random(11)
+    common = [f"c{i}" for i in range(60)]
+    rows = [(i, " ".join([*common, *[f"u{rnd.randint(0, 10**6)}" for _ in range(20 if i % 3 else 5)]])) for i in range(60)]
+    want = dict(zip([i for i, _ in rows], classes(rows), strict=True))
+    got = {r.doc_id: r.class_id for r in classes_of(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and len(set(want.values())) > 20
+
+
 def test_near_duplicates_of_odd_rows(odd, nothing):
     got = classes_of(odd).collect()
     assert len(got) == 10 and Counter(r.class_size for r in got if r.doc_id == 6) == Counter({2: 2, 1: 1})
@@ -188,6 +267,39 @@ def test_members_are_read_by_range_and_again_by_offset(spark, odd):
         read_archives(spark, path).mapInArrow(media._described, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").collect()
 
 
+def test_archives_are_rolled(spark, odd):
+    """A task goes on in a new archive once one is full; all members are read, by name and directory of their own."""
+    for limits in ({"members": 3}, {"archive": 200}):
+        path = write_archives(odd.coalesce(1), scratch_path(spark, "media"), **limits)
+        got = read_archives(spark, path).collect()
+        assert len(got) == 10 and len({r.archive for r in got}) >= 4 and not [r for r in got if r.error]
+        assert Counter(r.n_bytes for r in got) == Counter(len((r.text or "").encode()) for r in odd.collect())
+
+
+def test_features_of_a_picture():
+    """Against plain Python: rows, mean, deviation, distinct values, columns above the mean."""
+    payload = media.payload_of(bytes(range(100)) * 3)
+    n, mean = len(payload), sum(payload) / len(payload)
+    columns = [sum(payload[i::64]) for i in range(64)]
+    bits = int("".join("1" if c / (n // 64) > mean else "0" for c in columns), 2)
+    spread = (sum((x - mean) ** 2 for x in payload) / n) ** 0.5
+    assert media.describe(np.frombuffer(payload, np.uint8).reshape(-1, 64)) == f"{n // 64}:{mean:.4f}:{spread:.4f}:{len(set(payload))}:{bits:016x}"
+
+
+def test_pictures_are_read_by_other_means():
+    """A picture's bytes by the format's own rules: chunks, an inflated stream, a filter byte before each row."""
+    payload = media.payload_of(b"some text " * 40)
+    raw, at, found = media.encode_png(payload), 8, {}
+    while at < len(raw):
+        size = int.from_bytes(raw[at : at + 4], "big")
+        found[raw[at + 4 : at + 8]] = raw[at + 8 : at + 8 + size]
+        assert int.from_bytes(raw[at + 8 + size : at + 12 + size], "big") == zlib.crc32(raw[at + 4 : at + 8 + size])
+        at += size + 12
+    lines = zlib.decompress(found[b"IDAT"])
+    assert found[b"IHDR"] == (64).to_bytes(4, "big") + (len(payload) // 64).to_bytes(4, "big") + bytes([8, 0, 0, 0, 0])
+    assert b"".join(lines[i + 1 : i + 65] for i in range(0, len(lines), 65)) == payload and set(lines[::65]) == {0}
+
+
 def test_pictures():
     for n in (0, 1, 63, 64, 65, 5000):
         p = media.payload_of(bytes(random.Random(n).randbytes(n)))

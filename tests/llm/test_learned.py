@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from isolume.llm import lang_id, quality, topk
 from isolume.llm.lang_id import identify
@@ -112,6 +113,26 @@ def test_quality_of_odd_rows(spark, odd, nothing):
     assert {r.score for r in score_documents(odd, nulls).collect()} == {0.5}
 
 
+def test_columns_named_like_results_are_replaced(spark, odd):
+    docs = corpus(spark)
+    named = odd.withColumn("score", F.lit("old")).withColumn("lang_pred", F.lit("old"))
+    got = identify(named.select("doc_id", "text", "lang", "score", "lang_pred", F.lit(7).alias("__letters")), docs)
+    assert got.columns == ["doc_id", "__letters", "lang_pred", "score"] and dict(got.dtypes)["score"] == "double"
+    got = score_documents(named, docs.select("doc_id", "quality"))
+    assert sorted(got.columns) == sorted(named.columns) and dict(got.dtypes)["score"] == "double"
+
+
+def test_fitting_is_bounded_and_the_same_each_time(spark):
+    """Rows that all repeat a doc_id: twice the sample at most, whatever the order of the rows."""
+    one = next(i for i in range(9) if not out_of_fold(i))
+    docs = spark.createDataFrame([(one, f"text number {i}", "en") for i in range(500)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(one, 1)], "doc_id long, quality int")
+    windows = [lang_id.training_windows(docs.repartition(n), sample=10)[0] for n in (1, 4)]
+    assert 0 < len(windows[0]) <= 20 * lang_id.WINDOWS and (windows[0] == windows[1]).all()
+    fitted = [quality.training_rows(docs.repartition(n), labels, sample=10)[0] for n in (1, 4)]
+    assert fitted[0].shape[0] == 20 and (fitted[0] == fitted[1]).all()
+
+
 def test_pairwise_loss_ranks():
     draw = np.random.default_rng(2)
     x = draw.random((400, len(quality.FEATURES)))

@@ -122,6 +122,17 @@ def test_mixing(spark):
     assert sorted(map(str, got)) == sorted(map(str, mix(docs.repartition(7)).collect()))
 
 
+def test_mixing_keeps_columns_named_like_its_own(spark):
+    docs = spark.createDataFrame([(i % 3, f"w {i % 2}", "a", i) for i in range(9)], "doc_id long, text string, source string, __n int").withColumn("__times", F.lit("t"))
+    out = [sorted(map(tuple, mixed_documents(docs.repartition(n)).collect())) for n in (1, 4)]
+    assert out[0] == out[1] and mixed_documents(docs).columns == docs.columns and len(out[0]) > 9
+
+
+def test_rows_without_id_are_dealt_out_by_their_text(spark):
+    docs = spark.createDataFrame([(None, f"text {i} {'w ' * (i % 5)}", "a") for i in range(50)], "doc_id long, text string, source string")
+    assert len({r.taken for r in mix(docs).collect()}) > 3 and mix(docs).groupBy("fp").count().count() == 50
+
+
 def test_mixing_of_odd_rows(odd, nothing):
     got = mix(odd).collect()
     assert len(got) == 10 and {r.size for r in got if r.doc_id in (2, 3, 8)} == {0} and all(r.taken <= 2 * r.size for r in got)
