@@ -16,7 +16,8 @@ class MergeConfig:
 
     Options that are not in the compatible behaviour are off by default: unlimited_5trunc (a negative limit
     means none), strand_aware_trunc (5' and 3' after the strand), fix_minus_strand (outer exons of minus-strand
-    representatives keep their sides), min_samples and min_transcript_len (filters on results and inputs).
+    representatives keep their sides), min_samples and min_transcript_len (filters on results and inputs), sharded
+    (folders of ordered parts instead of single files). at_once: transcripts of one resume point, about.
     """
 
     input: str = ""
@@ -45,6 +46,8 @@ class MergeConfig:
     checkpoint_dir: str = ""
     resume: bool = False
     force: bool = False
+    sharded: bool = False
+    at_once: int = 5_000_000
 
     def __post_init__(self):
         if self.platform == "ont" and self.junction_threshold == 3:  # noisier reads
@@ -55,7 +58,7 @@ class MergeConfig:
 
 @dataclass(frozen=True)
 class ClusterConfig:
-    """Similarity clusters. classify_members (off by default) labels members against the reference."""
+    """Similarity clusters. classify_members (off by default) labels members against the reference; sharded as in merging."""
 
     input: str = ""
     output: str = ""
@@ -67,3 +70,4 @@ class ClusterConfig:
     weight_jaccard: float = 0.2
     min_similarity: float = 0.7
     classify_members: bool = False
+    sharded: bool = False

@@ -1,4 +1,8 @@
-"""Command line: merge and cluster. Options that only concerned threads and temporary files are accepted and left to Spark."""
+"""Command line: merge and cluster.
+
+Options that only concern threads and temporary files are accepted and left to Spark. --representative_order is
+accepted too; representatives are always taken with references first.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +12,7 @@ from dataclasses import MISSING, fields
 
 from pyspark.sql import SparkSession
 
+from isolume import __version__
 from isolume.config import ClusterConfig, MergeConfig
 
 #: Options whose values are one of a few.
@@ -39,6 +44,7 @@ def _add_settings(command: argparse.ArgumentParser, config: type) -> None:
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="isolume")
+    p.add_argument("--version", action="version", version=f"isolume {__version__}")
     commands = p.add_subparsers(dest="command", required=True)
     merge = commands.add_parser("merge", formatter_class=argparse.ArgumentDefaultsHelpFormatter)
     _add_settings(merge, MergeConfig)

@@ -16,7 +16,7 @@ from isolume.operators.consensus import build_merged
 from isolume.operators.genes import define_genes, genes_of
 from isolume.operators.greedy import merge_clusters
 from isolume.operators.ids import assign_ids, merge_order
-from isolume.plans.checkpoint import Checkpoint
+from isolume.plans.checkpoint import Staged
 from isolume.sources import gtf, sinks
 from isolume.sources.manifest import read_manifest, validate
 from isolume.storage import stored
@@ -40,11 +40,30 @@ def merge_transcripts(transcripts: DataFrame, cfg: MergeConfig, total_samples: i
     return define_genes(merged, cfg.novel_prefix)
 
 
+#: Settings that don't change results.
+NOT_RESULTS = ("resume", "force", "sharded", "at_once", "checkpoint_dir", "output", "output_extended")
+
+
+def _together(sizes: list[tuple[str, int]], most: int) -> list[list[str]]:
+    """Chromosomes in order, as many at once as have `most` transcripts (a larger one alone): each lot is a resume point."""
+    lots: list[list[str]] = []
+    held = 0
+    for chrom, n in sizes:
+        if not lots or held + n > most:
+            lots.append([])
+            held = 0
+        lots[-1].append(chrom)
+        held += n
+    return lots
+
+
 def run_merge(spark: SparkSession, cfg: MergeConfig, base: str = "") -> dict[str, int]:
     """Reads a manifest, writes <output>.gtf, _tracking.tsv, _summary.txt and, if asked, _extended.gtf; returns the totals.
 
-    Results are staged by chromosome in the checkpoint folder; a resumed run makes only the chromosomes that are
-    not there. IDs depend on a chromosome's place among all, so resuming doesn't change them.
+    Chromosomes are merged in lots of about cfg.at_once transcripts, and each lot's results are staged and marked in
+    the checkpoint folder; a resumed run makes only the chromosomes that are not there. IDs depend on a chromosome's
+    place among all, so neither lots nor resuming change them. cfg.sharded writes folders of ordered parts instead
+    of single files.
     """
     began = time.time()
     samples = read_manifest(spark, cfg.input, base)
@@ -55,32 +74,32 @@ def run_merge(spark: SparkSession, cfg: MergeConfig, base: str = "") -> dict[str
         raise ValueError("; ".join(errors))
     every = gtf.read_lines(spark, samples, features=None)
     chrom_order = gtf.natural_order(gtf.chromosomes(every))
-    point = Checkpoint(cfg.checkpoint_dir)
+    point = Staged(spark, cfg.checkpoint_dir, {k: v for k, v in asdict(cfg).items() if k not in NOT_RESULTS})
     if cfg.force or not cfg.resume:
-        point.reset()
-    point.save_params({k: v for k, v in asdict(cfg).items() if k not in ("resume", "force")})
-    done = point.completed()
+        point.clear()
+    transcripts = stored(gtf.assemble(every), "transcripts", "chrom")
+    refs = stored(reference(gtf.read_transcripts(spark, gtf.one_file(spark, cfg.ref_gtf))), "reference") if cfg.ref_gtf else None
+    done = point.done()
     log.info("%d samples, %d chromosomes, %d done before", n_samples, chrom_order.count(), len(done))
 
-    transcripts = stored(gtf.assemble(every), "transcripts")
-    refs = reference(gtf.read_transcripts(spark, gtf.one_file(spark, cfg.ref_gtf))) if cfg.ref_gtf else None
-    todo = transcripts.filter(~F.col("chrom").isin(*done)) if done else transcripts
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    fresh = merge_transcripts(todo, cfg, n_samples, chrom_order, refs)
-    fresh.write.mode("overwrite").partitionBy("chrom").parquet(point.staged)
-    point.mark_completed([r.chrom for r in chrom_order.orderBy("chrom_ord").collect()])
-    merged = spark.read.schema(fresh.schema).parquet(point.staged)
+    counts = transcripts.groupBy("chrom").agg(F.count(F.lit(1)).alias("n"))
+    sizes = chrom_order.join(counts, "chrom", "left").orderBy("chrom_ord").collect()  # a row for each chromosome
+    schema = None
+    for chroms in _together([(r.chrom, r.n or 0) for r in sizes if r.chrom not in done], cfg.at_once):
+        fresh = merge_transcripts(transcripts.filter(F.col("chrom").isin(*chroms)), cfg, n_samples, chrom_order, refs)
+        schema = fresh.schema
+        point.write(fresh, chroms)
+    schema = schema or merge_transcripts(transcripts.limit(0), cfg, n_samples, chrom_order, refs).schema
+    merged = point.read(schema, [r.chrom for r in sizes])
 
     head = ["##gtf-version 2.2", "##generated-by isolume", f"##date {datetime.now().isoformat()}"]
-    sinks.write_one(sinks.ordered_gtf(merged), f"{cfg.output}.gtf", head)
+    write = sinks.write_parts if cfg.sharded else sinks.write_one
+    write(sinks.ordered_gtf(merged), f"{cfg.output}.gtf", head)
     table = sinks.tracking(merged).orderBy("chrom_ord", "merge_ord")
-    sinks.write_one(sinks.tsv(table, sinks.TRACKING), f"{cfg.output}_tracking.tsv", ["\t".join(sinks.TRACKING)])
+    write(sinks.tsv(table, sinks.TRACKING), f"{cfg.output}_tracking.tsv", ["\t".join(sinks.TRACKING)])
     if cfg.output_extended and cfg.ref_gtf:
         lines = gtf.read_lines(spark, gtf.one_file(spark, cfg.ref_gtf))
-        left = sinks.raw_gtf_line(sinks.unused_reference(lines, merged)).select(F.lit(1).alias("part"), F.col("ord").alias("at"), "line")
-        sinks.write_one(sinks.ordered_gtf(merged), f"{cfg.output}_extended.gtf", head)
-        with open(f"{cfg.output}_extended.gtf", "a") as out:
-            out.writelines(r.line + "\n" for r in left.orderBy("at").toLocalIterator())
+        write(sinks.extended_gtf(merged, lines), f"{cfg.output}_extended.gtf", head)
     totals = {"samples": n_samples, "input": transcripts.count(), "merged": merged.count(), "genes": genes_of(merged).count()}
     report(f"{cfg.output}_summary.txt", "Merge", began, totals)
     return totals

@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 
 from isolume.functions.kernels import junctions_of
 from isolume.sources.manifest import stem
-from isolume.storage import stored
+from isolume.storage import file_system, stored
 
 #: ord = sample_ord * LINES + place in the file's bytes and splits.
 LINES = 1 << 40
 FEATURES = ("transcript", "exon")
+#: Splits (about 30 bytes each) up to which their places are broadcast.
+BROADCAST_SPLITS = 500_000
 
 
 def parse_attributes(text: Column) -> Column:
@@ -30,21 +32,33 @@ def parse_attributes(text: Column) -> Column:
     return F.map_from_entries(last)
 
 
+def _one_slash(uri: Column) -> Column:
+    """Local files are named file:/ or file:/// by turns."""
+    return F.regexp_replace(uri, "^file:/+", "file:/")
+
+
+def resolved(spark: SparkSession, path: str) -> str:
+    """A file's full name as the scan's metadata has it: scheme, authority and place, encoded."""
+    files, at = file_system(spark, path)
+    uri = spark._jvm.org.apache.spark.paths.SparkPath.fromPath(files.makeQualified(at)).urlEncoded()
+    return re.sub("^file:/+", "file:/", uri)
+
+
 def read_lines(spark: SparkSession, samples: DataFrame, features: tuple[str, ...] | None = FEATURES, chrom: str | None = None) -> DataFrame:
     """(sample_id, sample_ord, ord, chrom, source, feature, start, end, strand, attributes) of all samples' files.
 
-    The numbering is made once and stored: a line's split and place in it name its place in the file.
+    A file's lines belong to the samples whose path resolves to that very file. The numbering is made once and
+    stored: a line's split and place in it name its place in the file.
     """
     manifest = samples.select("sample_ord", "sample_id", "gtf_path").collect()  # a line for each sample
     paths = [r.gtf_path for r in manifest]
     if not paths:
         empty = "sample_id string, sample_ord int, ord bigint, chrom string, source string, feature string, start bigint, end bigint, strand string, attributes map<string,string>"
         return spark.createDataFrame([], empty)
-    named = spark.createDataFrame([(r.sample_ord, r.sample_id, r.gtf_path.rsplit("/", 1)[-1], r.gtf_path) for r in manifest], "sample_ord int, sample_id string, name string, gtf_path string")
+    named = spark.createDataFrame([(r.sample_ord, r.sample_id, resolved(spark, r.gtf_path)) for r in manifest], "sample_ord int, sample_id string, path string")
     raw = spark.read.text(sorted(set(paths)))
-    raw = raw.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
-    whole = F.endswith(F.url_decode("path"), F.regexp_replace("gtf_path", "^[a-z]+:/*", "/"))
-    raw = raw.join(F.broadcast(named), whole)
+    raw = raw.select("value", _one_slash(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    raw = raw.join(F.broadcast(named), "path")
     cells = F.split("value", "\t", -1)
     rows = raw.filter(~F.startswith("value", F.lit("#"))).withColumn("cells", cells).filter(F.size("cells") >= 9)
     rows = rows.select(
@@ -70,7 +84,8 @@ def read_lines(spark: SparkSession, samples: DataFrame, features: tuple[str, ...
     sizes = rows.groupBy("sample_ord", "block").agg(F.min("line").alias("first"), (F.max("line") - F.min("line") + 1).alias("n"))
     before = Window.partitionBy("sample_ord").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    placed = rows.join(F.broadcast(sizes), ["sample_ord", "block"])
+    sizes = stored(sizes, "gtf_splits")
+    placed = rows.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_SPLITS else sizes, ["sample_ord", "block"])
     number = F.col("sample_ord").cast("bigint") * LINES + F.col("before") + F.col("line") - F.col("first")
     return placed.select("sample_id", "sample_ord", number.alias("ord"), "chrom", "source", "feature", "start", "end", "strand", "attributes")
 

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where the session names none."""
+    """The folder named in spark.checkpoint.dir. Only a session in one JVM, as in tests, may name none and gets a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="isolume-")
         spark.conf.set("spark.checkpoint.dir", named)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -27,10 +30,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def file_system(spark: SparkSession, path: str) -> tuple:
+    """(Hadoop's FileSystem of a path, the path as its object)."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def clear(spark: SparkSession) -> bool:
     """Deletes the session's scratch tables. Results that are still to be read need theirs, so this is for the end of a job."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(session_dir(spark))
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    files, path = file_system(spark, session_dir(spark))
+    return files.delete(path, True)
 
 
 def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:

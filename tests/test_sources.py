@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import gzip
-import json
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from shapes import frame, row
 
 from isolume.config import ClusterConfig, MergeConfig
 from isolume.operators.interval import islands, overlap_join
+from isolume.plans import merge
 from isolume.plans.cli import parser, settings
 from isolume.plans.cluster import run_cluster
 from isolume.plans.merge import run_merge
@@ -52,7 +53,25 @@ def test_manifest(spark, files):
     (files / "bad.tsv").write_text("a.gtf\tx\nb.gtf\tx\nempty.gtf\ty\n")
     (files / "empty.gtf").write_text("")
     errors = manifest.validate(manifest.read_manifest(spark, str(files / "bad.tsv"), str(files)), str(files / "none.gtf"))
-    assert len(errors) == 4 and errors[0] == "Duplicate sample IDs: x" and "empty" in errors[2]
+    assert [e.split(":")[0] for e in errors] == ["sample IDs occur more than once", "no such file", "no bytes in the file", "no such reference"]
+    (files / "odd.tsv").write_text("a.gtf\tx\tcapped\thigh\n")
+    odd = manifest.read_manifest(spark, str(files / "odd.tsv"), str(files))
+    assert manifest.validate(odd) == ["sample x: its priority is not a whole number"]
+    assert "is none of" in manifest.validate(odd.withColumn("cap_status", F.lit("half")))[0]
+
+
+def test_files_belong_to_the_samples_that_name_them(spark, tmp_path):
+    """Paths that end alike, names with blanks, one file for two samples."""
+    names = ["a.gtf", "xa.gtf", "x/a.gtf", "x y/a.gtf", "x%20y/a.gtf"]
+    for i, n in enumerate(names):
+        (tmp_path / n).parent.mkdir(exist_ok=True)
+        (tmp_path / n).write_text(lines_of([(f"t{i}", "g", "chr1", "+", [(1 + i, 90)])]))
+    (tmp_path / "m.tsv").write_text("".join(f"{n}\ts{i}\n" for i, n in enumerate([*names, names[0]])))
+    samples = manifest.read_manifest(spark, str(tmp_path / "m.tsv"), str(tmp_path))
+    got = gtf.read_transcripts(spark, samples)
+    assert sorted((r.sample_id, r.transcript_id) for r in got.collect()) == [*((f"s{i}", f"t{i}") for i in range(5)), ("s5", "t0")]
+    uri = spark.createDataFrame([(0, f"file://{tmp_path}/a.gtf", "s", "no_cap", 1, "")], "sample_ord int, gtf_path string, sample_id string, cap_status string, priority int, metadata string")
+    assert gtf.read_transcripts(spark, uri).count() == 1
 
 
 def test_assembly(spark, files, tmp_path):
@@ -126,11 +145,36 @@ def test_merge_plan(spark, files):
     assert text[3].endswith('gene_id "G1"; gene_name "NA"; ref_gene_id "G1"; num_transcripts "1"; num_samples "2"')
     more = (files / "out_extended.gtf").read_text().splitlines()[len(text) :]
     assert {x.split('transcript_id "')[1].split('"')[0] for x in more} == {"R3", "R9"}
-    before = (files / "out_tracking.tsv").read_text()
-    done = json.loads((files / "out_checkpoint/checkpoint.json").read_text())
-    assert done["completed_chroms"] == ["chr1", "chr2", "chr10"]
-    run_merge(spark, MergeConfig(**{**cfg.__dict__, "resume": True}), str(files))  # nothing is made anew
-    assert (files / "out_tracking.tsv").read_text() == before
+    before, gtf_before = (files / "out_tracking.tsv").read_text(), (files / "out.gtf").read_text().splitlines()[3:]
+    run_merge(spark, MergeConfig(**{**cfg.__dict__, "sharded": True, "output": str(files / "parts"), "at_once": 1}), str(files))
+    joined = lambda folder: "".join(p.read_text() for p in sorted((files / folder).glob("part-*"))).splitlines()
+    assert joined("parts_tracking.tsv") == before.splitlines() and joined("parts.gtf")[3:] == gtf_before
+    assert Counter(joined("parts_extended.gtf")[3:]) == Counter((files / "out_extended.gtf").read_text().splitlines()[3:])
+
+
+def test_resuming(spark, files, monkeypatch):
+    """A run that dies after one chromosome's results goes on from there; other settings start anew."""
+    cfg = MergeConfig(input=str(files / "samples.tsv"), output=str(files / "out"), ref_gtf=str(files / "ref.gtf"), at_once=1)
+    whole = run_merge(spark, cfg, str(files))
+    want = (files / "out_tracking.tsv").read_text()
+    made, real = [], merge.merge_transcripts
+
+    def dies(transcripts, *args):
+        made.append(sorted({r.chrom for r in transcripts.select("chrom").distinct().collect()}))
+        if len(made) == 2:
+            raise RuntimeError("lost")
+        return real(transcripts, *args)
+
+    monkeypatch.setattr(merge, "merge_transcripts", dies)
+    again = MergeConfig(**{**cfg.__dict__, "resume": True, "checkpoint_dir": str(files / "point")})
+    with pytest.raises(RuntimeError, match="lost"):
+        run_merge(spark, again, str(files))
+    assert run_merge(spark, again, str(files)) == whole and (files / "out_tracking.tsv").read_text() == want
+    assert made == [["chr1"], ["chr2"], ["chr2"], ["chr10"]]
+    run_merge(spark, again, str(files))
+    assert len(made) == 4 + 1 and made[-1] == []  # only the schema of nothing
+    run_merge(spark, MergeConfig(**{**again.__dict__, "tss_window": 20}), str(files))
+    assert made[5:] == [["chr1"], ["chr2"], ["chr10"]]
 
 
 def test_cluster_plan(spark, files):
@@ -159,6 +203,75 @@ def test_arrivals(spark, tmp_path):
     assert {(r.sample_id, r.transcript_id) for r in staged_transcripts(spark, str(tmp_path / "out")).collect()} == {("a", x[0]) for x in A} | {("b", x[0]) for x in B}
 
 
+# A toy of three samples and a reference: transcript, gene, strand, exons; all on chr1. Results were worked out by hand.
+GENE = ["ENSMUSG00000000001", "ENSMUSG00000000002", "ENSMUSG00000000003"]
+T = ["ENSMUST00000000001", "ENSMUST00000000002", "ENSMUST00000000003"]
+LONG_1, LONG_2 = [(1001, 1200), (1501, 1800), (2001, 2300), (2601, 3000), (3201, 5000)], [(6001, 6300), (6601, 6900), (7201, 7600), (7901, 9500)]
+TOY = {
+    "ref": [(T[0], GENE[0], "+", LONG_1), (T[1], GENE[1], "+", LONG_2), (T[2], GENE[2], "-", MINUS)],
+    "brain": [(T[0], GENE[0], "+", LONG_1), ("transcript1.chr1.nic", GENE[0], "+", [(1050, 1200), *LONG_1[1:]]), (T[1], GENE[1], "+", LONG_2), (T[2], GENE[2], "-", MINUS),
+              ("transcript2.chr1.nnic", "N1", "+", [(15001, 16500)])],
+    "liver": [(T[0] + ".liver", GENE[0], "+", LONG_1[1:]), (T[1] + ".liver", GENE[1], "+", [(6002, 6300), (6601, 6900), (7201, 7601), (7901, 9500)]), (T[2] + ".liver", GENE[2], "-", MINUS[:2]),
+              ("transcript3.chr1.nnic", "N1", "+", [(15100, 16500)]), ("transcript4.chr1.nnic", "N2", "+", [(20001, 20500), (21001, 21500), (22001, 23000)])],
+    "ESC": [(T[0] + ".esc", GENE[0], "+", LONG_1), ("transcript5.chr1.nic", GENE[0], "+", [(1001, 1200), (1501, 1800), (2001, 3000)]), (T[1] + ".esc", GENE[1], "+", LONG_2),
+            (T[2] + ".esc", GENE[2], "-", MINUS), ("transcript6.chr1.nnic", "N1", "+", [(14800, 16500)]), ("transcript7.chr1.nnic", "N3", "-", [(25001, 27000)])],
+}
+
+
+@pytest.fixture
+def toy(tmp_path):
+    for name, rows in TOY.items():
+        (tmp_path / f"{name}.gtf").write_text(lines_of([(t, g, "chr1", s, x) for t, g, s, x in rows]))
+    (tmp_path / "samples.tsv").write_text("".join(f"{n}.gtf\t{n}\tno_cap\t1\n" for n in ("brain", "liver", "ESC")))
+    return tmp_path
+
+
+def test_toy_merge(spark, toy):
+    cfg = MergeConfig(input=str(toy / "samples.tsv"), output=str(toy / "o"), ref_gtf=str(toy / "ref.gtf"), output_extended=True)
+    assert run_merge(spark, cfg, str(toy)) == {"samples": 3, "input": 16, "merged": 9, "genes": 6}
+    head, *rows = [x.split("\t") for x in (toy / "o_tracking.tsv").read_text().splitlines()]
+    got = [dict(zip(head, r, strict=True)) for r in rows]
+    shown = "transcript_id gene_id merge_status class_code sample_ids junction_coords tss_coord tes_coord".split()
+    assert [" ".join(r[c] for c in shown) for r in got] == [
+        f"{T[0]} {GENE[0]} exact_match = brain,ESC 1200-1500,1800-2000,2300-2600,3000-3200 1000 5000",
+        f"Novel.Tx000001.chr1.c {GENE[0]} singleton c liver 1800-2000,2300-2600,3000-3200 1500 5000",
+        f"{T[1]} {GENE[1]} exact_match = brain,liver,ESC 6300-6600,6900-7200,7600-7900 6000 9500",
+        "Novel.Tx000002.chr1.u NovelG4 singleton u liver 20500-21000,21500-22000 20000 23000",
+        f"Novel.Tx000003.chr1.c {GENE[0]} singleton c ESC 1200-1500,1800-2000 1000 3000",
+        f"Novel.Tx000004.chr1.o {GENE[2]} exact_match o brain,ESC 13000-11700,12100-11000 13000 11000",
+        f"Novel.Tx000005.chr1.o {GENE[2]} singleton o liver 12100-11000 12100 11000",
+        "Novel.Tx000006.chr1.u NovelG3 monoexon_overlap u ESC,brain,liver NA 14799 16500",
+        "Novel.Tx000007.chr1.u NovelG6 singleton u ESC NA 27000 25000",
+    ]
+    more = "per_junction_max_coord_diff diff_junction_count diff_junction_ratio tss_diff_range freq_score".split()
+    assert [got[2][c] for c in more] == ["j0:0bp,j1:0bp,j2:1bp", "1", "0.3333", "0-1bp", "1.0000"] and got[0]["freq_score"] == "0.6667"
+    assert got[5]["per_junction_max_coord_diff"] == "j0:1600bp,j1:1400bp" and got[6]["per_junction_max_coord_diff"] == "j0:700bp" and got[7]["tss_diff_range"] == "0-300bp"
+    genes = [x.split("\t")[8] for x in (toy / "o.gtf").read_text().splitlines() if "\tgene\t" in x]
+    assert [(g.split('"')[1], g.split('num_transcripts "')[1][0]) for g in genes] == [(GENE[0], "3"), (GENE[1], "1"), (GENE[2], "2"), ("NovelG3", "1"), ("NovelG4", "1"), ("NovelG6", "1")]
+    left = [x.split("\t") for x in (toy / "o_extended.gtf").read_text().splitlines()[len((toy / "o.gtf").read_text().splitlines()) :]]
+    assert [x[2] for x in left] == ["transcript", "exon", "exon", "exon"] and all(T[2] in x[8] for x in left)
+
+
+def test_toy_clusters(spark, toy):
+    totals = run_cluster(spark, ClusterConfig(input=str(toy / "samples.tsv"), output=str(toy / "c"), ref_gtf=str(toy / "ref.gtf")), str(toy))
+    assert (totals["inputs"], totals["clusters"], totals["singletons"]) == (19, 8, 4)
+    rows = [x.split("\t") for x in (toy / "c_clusters.tsv").read_text().splitlines()[1:]]
+    got = {}
+    for r in rows:
+        got.setdefault(r[0], []).append((r[1], r[3]))
+    one = "1.0000"
+    assert {k: sorted(v) for k, v in got.items()} == {
+        "C000001": sorted([(T[0], one), (T[0], one), (T[0] + ".esc", one), ("transcript1.chr1.nic", "0.9902"), (T[0] + ".liver", "0.7853")]),
+        "C000002": sorted([(T[1], one), (T[1], one), (T[1] + ".esc", one), (T[1] + ".liver", "0.9998")]),
+        "C000003": [("transcript4.chr1.nnic", one)],
+        "C000004": sorted([("transcript6.chr1.nnic", one), ("transcript2.chr1.nnic", "0.8818"), ("transcript3.chr1.nnic", "0.8236")]),
+        "C000005": [("transcript5.chr1.nic", one)],
+        "C000006": sorted([(T[2], one), (T[2], one), (T[2] + ".esc", one)]),
+        "C000007": [("transcript7.chr1.nnic", one)],
+        "C000008": [(T[2] + ".liver", one)],
+    }
+
+
 def test_empty_input(spark):
     from isolume.plans.merge import consolidate
 

@@ -10,7 +10,7 @@ import sys
 import pytest
 
 from isolume.operators.components import components
-from isolume.storage import clear, session_dir, stored
+from isolume.storage import clear, session_dir, shared_dir, stored
 
 REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -41,6 +41,20 @@ def test_stored_tables(spark):
     assert os.path.isdir(folder) and clear(spark) and not os.path.exists(folder)
 
 
+def test_a_cluster_needs_a_shared_folder():
+    class Conf:
+        get = staticmethod(lambda key, default=None: default)
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        conf, sparkContext = Conf, Context
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session)
+
+
 def test_library_does_not_need_the_text_operators():
     code = "import sys; sys.modules['isolume.llm'] = sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert q and set(e.oracle_sql()) <= set(q); assert not any('llm' in (m or '') for m in sys.modules if m != 'isolume.llm')"
     assert subprocess.run([sys.executable, "-c", code], cwd=REPO, timeout=120).returncode == 0
