@@ -95,6 +95,11 @@ def _spread(values: Column, from_: Column) -> Column:
     return F.concat(F.array_min(away).cast("string"), F.lit("-"), F.array_max(away).cast("string"), F.lit("bp"))
 
 
+def frequency(n_samples: Column, total_samples: int) -> Column:
+    """The share of all samples, to four places (half to even)."""
+    return F.bround(n_samples / max(total_samples, 1), 4)
+
+
 def build_merged(clusters: DataFrame, cfg: MergeConfig, total_samples: int) -> DataFrame:
     """One row for each cluster: representative, provenance by sample, and how far the members are from it."""
     c = members_of(clusters).withColumn("uniq", first_per(F.col("members"), "sample_id"))
@@ -138,7 +143,7 @@ def build_merged(clusters: DataFrame, cfg: MergeConfig, total_samples: int) -> D
         F.col("support").alias("per_junction_support"),
         drifted.alias("diff_junction_count"),
         F.bround(F.when(n > 0, drifted / n).otherwise(0.0), 4).alias("diff_junction_ratio"),
-        F.bround(F.size(uniq) / max(total_samples, 1), 4).alias("freq_score"),
+        frequency(F.size(uniq), total_samples).alias("freq_score"),
         F.when(strand == ".", "unknown").otherwise("known").alias("strand_status"),
     )
     return out.filter(F.col("num_samples") >= cfg.min_samples)

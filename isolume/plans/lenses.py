@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from isolume.config import ClusterConfig, MergeConfig
-from isolume.functions.arrays import first_least, first_mode, first_most
+from isolume.functions.arrays import first_least, first_mode, first_per, first_most
 from isolume.functions.kernels import (
     coord_error,
     exonic_length,
@@ -31,18 +31,18 @@ from isolume.functions.kernels import (
     side,
     similarity,
 )
-from isolume.operators import legacy
-from isolume.operators.classify import classify_best, classify_pairs
+from isolume.operators import consensus, legacy
+from isolume.operators.classify import classify_best, classify_pairs, reference
 from isolume.operators.components import components
 from isolume.operators.consensus import pick_end, truncations
 from isolume.operators.genes import define_genes, exon_edges, exons_of
 from isolume.operators.greedy import merge_clusters, merge_mono_exon
 from isolume.operators.ids import assign_ids
 from isolume.operators.interval import islands, overlap_join, self_overlap
-from isolume.plans.cluster import cluster_transcripts
+from isolume.plans.cluster import cluster_totals, cluster_transcripts, mark_reference, occurrences
 from isolume.plans.merge import merge_transcripts
 from isolume.sources import sinks
-from isolume.sources.gtf import natural_order, parse_attributes
+from isolume.sources.gtf import assemble, natural_order, parse_attributes
 from isolume.sources.manifest import duplicate_samples
 
 GENES = 2000
@@ -130,9 +130,17 @@ def neighbours(t: DataFrame) -> DataFrame:
     return pairs.select(*[F.col(f"a.{c}").alias(f"a_{c}") for c in names], *[F.col(c).alias(f"b_{c}") for c in names])
 
 
+def lens_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exons as lines of annotation files, in no particular order."""
+    e = lens_exons(spark, sf_dir)
+    told = F.create_map(F.lit("gene_id"), F.concat(F.lit("g"), F.col("gene").cast("string")), F.lit("transcript_id"), F.concat(F.lit("t"), F.col("ord").cast("string")))
+    sample = (F.col("ord") % SAMPLES).cast("int").alias("sample_ord")
+    return e.select("sample_id", sample, F.xxhash64("ord", "start").alias("ord"), "chrom", F.lit("lens").alias("source"), F.lit("exon").alias("feature"), "start", "end", "strand", told.alias("attributes"))
+
+
 def assemble_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = F.array_join(F.transform("exons", lambda e: F.concat_ws("-", e["start"].cast("string"), e["end"].cast("string"))), ",")
-    t = lens(spark, sf_dir)
+    t = assemble(lens_lines(spark, sf_dir))
     return t.select("transcript_id", "gene_id", "chrom", "start", "end", "strand", "sample_id", F.size("exons").cast("long").alias("n_exons"), exonic_length(F.col("exons")).alias("length"), shown.alias("exons"))
 
 
@@ -199,8 +207,8 @@ def mode_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def first_per_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("gene", "sample_id").orderBy("ord"))
-    return lens(spark, sf_dir).withColumn("n", place).filter("n = 1").select("gene", "sample_id", "ord")
+    first = first_per(F.col("members"), "sample_id")
+    return _by_gene(lens(spark, sf_dir)).select("gene", F.explode(first).alias("m")).select("gene", "m.sample_id", "m.ord")
 
 
 def _by_gene(t: DataFrame) -> DataFrame:
@@ -229,10 +237,10 @@ def _chains(spark: SparkSession) -> DataFrame:
 
 def junction_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By gene and junction ordinal: how many transcripts have it and their greatest distance from the gene's chain."""
-    t = lens(spark, sf_dir).join(_chains(spark), F.col("gene") == F.col("r_gene"))
-    j = t.select("gene", "sample_id", "r_junctions", F.posexplode("junctions").alias("j", "x"))
-    j = j.filter(F.col("j") < F.size("r_junctions")).withColumn("drift", coord_error(F.col("x"), F.get("r_junctions", F.col("j"))))
-    return j.groupBy("gene", F.col("j").cast("long").alias("j")).agg(F.count(F.lit(1)).alias("support"), F.count_distinct("sample_id").alias("samples"), F.max("drift").alias("drift"))
+    g = _by_gene(lens(spark, sf_dir)).join(_chains(spark), F.col("gene") == F.col("r_gene"))
+    j = g.select("gene", F.explode(consensus.junction_support(F.col("members"), F.col("r_junctions"))).alias("s"))
+    number = lambda c: F.size(c).cast("long")
+    return j.select("gene", F.col("s.j").cast("long").alias("j"), number("s.samples").alias("support"), number(F.array_distinct("s.samples")).alias("samples"), F.col("s.drift").alias("drift"))
 
 
 def truncation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,8 +285,9 @@ def gene_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ref_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reference transcripts whose ID no transcript inherits."""
-    used = best_codes(spark, sf_dir).filter("class_code = '='").select(F.col("ref_transcript_id").alias("transcript_id"))
-    return lens_ref(spark).join(used, "transcript_id", "left_anti").select("transcript_id", "gene_id")
+    told = F.create_map(F.lit("transcript_id"), F.col("transcript_id"))
+    left = sinks.unused_reference(lens_ref(spark).withColumn("attributes", told), best_codes(spark, sf_dir))
+    return left.select("transcript_id", "gene_id")
 
 
 def manifest_dupes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -296,33 +305,36 @@ def attr_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sample_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = lens(spark, sf_dir).groupBy("gene").agg(F.count_distinct("sample_id").alias("samples"), F.count(F.lit(1)).alias("transcripts"))
-    return g.select("gene", "samples", "transcripts", (F.col("samples") / SAMPLES).alias("freq"))
+    samples = F.size(first_per(F.col("members"), "sample_id"))
+    g = _by_gene(lens(spark, sf_dir))
+    return g.select("gene", samples.cast("long").alias("samples"), F.size("members").cast("long").alias("transcripts"), consensus.frequency(samples, SAMPLES).alias("freq"))
 
 
 def chain_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals over the groups of equal chains: members, groups, mean size, groups of one."""
-    g = legacy.chain_groups(lens(spark, sf_dir))
-    return g.agg(
-        F.sum("members").alias("members"), F.count(F.lit(1)).alias("groups"), (F.sum("members") / F.count(F.lit(1))).alias("avg_size"), F.sum((F.col("members") == 1).cast("long")).alias("singletons")
-    )
+    chains = junction_chains(spark, sf_dir).withColumnRenamed("chain", "cluster_no")
+    return cluster_totals(chains).select(F.col("inputs").alias("members"), F.col("clusters").alias("groups"), "avg_size", "singletons")
+
+
+def _shared_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcripts that share IDs: orders modulo 997."""
+    return lens(spark, sf_dir).withColumn("transcript_id", F.concat(F.lit("x"), (F.col("ord") % 997).cast("string")))
 
 
 def occurrence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lens(spark, sf_dir).groupBy(F.concat(F.lit("x"), (F.col("ord") % 997).cast("string")).alias("transcript_id")).agg(F.count(F.lit(1)).alias("n"))
+    return occurrences(_shared_ids(spark, sf_dir)).select("transcript_id", F.col("n_occurrences").alias("n"))
 
 
 def reference_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By chromosome: transcripts whose ID is a reference's, and others."""
-    ids = lens_ref(spark).select(F.regexp_replace("transcript_id", "^[rc]", "t").alias("transcript_id")).distinct().withColumn("is_ref", F.lit(True))
-    t = lens(spark, sf_dir).select("transcript_id", "chrom").join(ids, "transcript_id", "left")
-    return t.groupBy("chrom").agg(F.count("is_ref").alias("refs"), F.count(F.when(F.col("is_ref").isNull(), 1)).alias("others"))
+    refs = lens_ref(spark).withColumn("transcript_id", F.regexp_replace("transcript_id", "^[rc]", "t"))
+    t = mark_reference(lens(spark, sf_dir).select("transcript_id", "chrom"), refs)
+    return t.groupBy("chrom").agg(F.count_if("is_ref").alias("refs"), F.count_if(~F.col("is_ref")).alias("others"))
 
 
 def reference_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of transcripts that share an ID (orders modulo 997) the last."""
-    t = lens(spark, sf_dir).withColumn("id", F.concat(F.lit("x"), (F.col("ord") % 997).cast("string")))
-    return t.groupBy("id").agg(F.max_by(F.struct("ord", "start", "end"), F.col("ord")).alias("x")).select("id", "x.ord", "x.start", "x.end")
+    """Of transcripts that share an ID the last."""
+    return reference(_shared_ids(spark, sf_dir)).select(F.col("transcript_id").alias("id"), "ord", "start", "end")
 
 
 def chrom_order(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,7 +108,135 @@ reach(ord, seen) AS (SELECT ord, ord FROM t UNION SELECT reach.ord, e.v FROM rea
 comp AS (SELECT ord, min(seen) AS component FROM reach GROUP BY ord)
 """
 
+# Greedy placement: of each transcript, in its turn, the first of the seeds that would take it (compat, the best first) that is one by then.
+def _greedy(name: str) -> str:
+    """Tables {name}_ranked (ord, gene, n) and {name}_compat (ord, c) give {name}_placed (ord, gene, n, seed)."""
+    return f"""
+    {name}_steps(gene, n, ord, seed, seeds) AS (
+        SELECT gene, n, ord, ord, [ord] FROM {name}_ranked WHERE n = 1
+        UNION ALL
+        SELECT gene, n, ord, seed, CASE WHEN seed = ord THEN list_append(seeds, ord) ELSE seeds END
+        FROM (SELECT r.gene, r.n, r.ord, s.seeds, coalesce(list_filter(c.c, lambda x: list_contains(s.seeds, x))[1], r.ord) AS seed
+              FROM {name}_steps s JOIN {name}_ranked r ON r.gene = s.gene AND r.n = s.n + 1 LEFT JOIN {name}_compat c ON c.ord = r.ord)),
+    {name}_placed AS (SELECT gene, n, ord, seed FROM {name}_steps)"""
+
+
+# All ordered pairs of a gene's transcripts, and their junctions' matches.
+_PAIRED = f"""
+duo AS (SELECT a.ord AS a_ord, b.ord AS b_ord, a.gene, a.strand, a.nj AS na, b.nj AS nb, a.n_exons AS xa, b.n_exons AS xb, a.length AS la, b.length AS lb, a.start AS sa, a.stop AS ea, b.start AS sb, b.stop AS eb,
+               CASE WHEN a.strand = '-' THEN a.stop ELSE a.start END AS tss_a, CASE WHEN a.strand = '-' THEN b.stop ELSE b.start END AS tss_b,
+               CASE WHEN a.strand = '-' THEN a.start ELSE a.stop END AS tes_a, CASE WHEN a.strand = '-' THEN b.start ELSE b.stop END AS tes_b
+        FROM t a JOIN t b ON a.gene = b.gene),
+near AS (SELECT x.ord AS a_ord, y.ord AS b_ord, x.i AS i, y.i AS k, greatest(abs(x.donor - y.donor), abs(x.acceptor - y.acceptor)) AS err
+         FROM j x JOIN j y ON x.gene = y.gene AND abs(x.donor - y.donor) <= 50 AND abs(x.acceptor - y.acceptor) <= 50),
+links AS (SELECT a_ord, b_ord, count(*) AS m, min(i) AS i0, max(i) AS i1, min(k) AS k0, max(k) AS k1, count(*) FILTER (WHERE err > 0) AS moved, sum(err) AS err
+          FROM near WHERE err <= {THR} GROUP BY a_ord, b_ord)
+"""
+_MULTI = (
+    f"""
+multi_ranked AS (SELECT ord, gene, row_number() OVER (PARTITION BY gene ORDER BY nj DESC, length DESC, ord) AS n FROM t WHERE n_exons > 1),
+multi_ok AS (SELECT d.a_ord, d.b_ord, CASE WHEN greatest(i0, k0) = 0 AND greatest(na - 1 - i1, nb - 1 - k1) = 0 THEN CASE WHEN moved > 0 THEN 'fuzzy_match' ELSE 'exact_match' END
+                    WHEN greatest(na - 1 - i1, nb - 1 - k1) = 0 THEN 'truncation_5' WHEN greatest(i0, k0) = 0 THEN 'truncation_3' ELSE 'truncation_both' END AS status
+             FROM duo d JOIN links l USING (a_ord, b_ord) WHERE i1 - i0 + 1 = m AND k1 - k0 + 1 = m AND greatest(i0, k0) <= {CFG.max_5trunc} AND greatest(na - 1 - i1, nb - 1 - k1) <= {CFG.max_3trunc}
+             AND abs(tss_a - tss_b) <= {CFG.tss_window} AND abs(tes_a - tes_b) <= {CFG.tes_window} AND moved::DOUBLE / m <= {CFG.max_diff_ratio}),
+multi_compat AS (SELECT b.ord, list(a.ord ORDER BY a.n) AS c FROM multi_ok o JOIN multi_ranked a ON a.ord = o.a_ord JOIN multi_ranked b ON b.ord = o.b_ord AND a.n < b.n GROUP BY b.ord),"""
+    + _greedy("multi")
+)
+_SINGLE = (
+    f"""
+mono_ranked AS (SELECT ord, gene, row_number() OVER (PARTITION BY gene ORDER BY start, ord) AS n FROM t WHERE n_exons = 1),
+mono_ok AS (SELECT a_ord, b_ord, CASE WHEN sa = sb AND ea = eb THEN 'monoexon_exact' ELSE 'monoexon_overlap' END AS status FROM duo
+            WHERE xa = 1 AND xb = 1 AND greatest(0, least(ea, eb) - greatest(sa, sb))::DOUBLE / least(ea - sa, eb - sb) >= {CFG.mono_overlap}
+            AND CASE WHEN strand = '+' THEN abs(sa - sb) ELSE abs(ea - eb) END <= {CFG.mono_5end} AND CASE WHEN strand = '+' THEN abs(ea - eb) ELSE abs(sa - sb) END <= {CFG.mono_3end}),
+mono_compat AS (SELECT b.ord, list(a.ord ORDER BY a.n) AS c FROM mono_ok o JOIN mono_ranked a ON a.ord = o.a_ord JOIN mono_ranked b ON b.ord = o.b_ord AND a.n < b.n GROUP BY b.ord),"""
+    + _greedy("mono")
+)
+_MERGED_STATUS = """
+seated AS (SELECT p.*, false AS mono, o.status FROM multi_placed p LEFT JOIN multi_ok o ON o.a_ord = p.seed AND o.b_ord = p.ord AND p.seed <> p.ord
+           UNION ALL SELECT p.*, true, o.status FROM mono_placed p LEFT JOIN mono_ok o ON o.a_ord = p.seed AND o.b_ord = p.ord AND p.seed <> p.ord),
+statuses AS (SELECT seed, mono, CASE WHEN count(*) = 1 THEN 'singleton' WHEN mono THEN CASE WHEN bool_or(status = 'monoexon_overlap') THEN 'monoexon_overlap' ELSE 'monoexon_exact' END
+                    ELSE arg_min(status, struct_pack(p := CASE status WHEN 'exact_match' THEN 1 WHEN 'fuzzy_match' THEN 2 WHEN 'truncation_both' THEN 4 ELSE 3 END, n := n)) FILTER (WHERE status IS NOT NULL) END AS status
+             FROM seated GROUP BY seed, mono)"""
+
+# Transcripts and references as one table, and the similarity of a gene's pairs.
+_UNITED = """
+ux AS (SELECT 't' || ord AS id, gene, start, stop, i FROM exons UNION ALL SELECT ref, gene, start, stop, i FROM rx),
+u AS (SELECT 't' || ord AS id, gene, ord::HUGEINT AS ord, start, stop, n_exons, nj, length, false AS is_ref, 1 AS n_occ FROM t
+      UNION ALL SELECT ref, any_value(gene), (any_value(ref_ord)::HUGEINT + 1152921504606846976), min(start), max(stop), count(*), count(*) - 1, sum(stop - start)::BIGINT, true, 0 FROM rx GROUP BY ref),
+uj AS (SELECT id, gene, i, stop AS donor, lead(start) OVER (PARTITION BY id ORDER BY start) AS acceptor FROM ux QUALIFY acceptor IS NOT NULL)"""
+
+
+def _scores(members: str, exons: str, junctions: str, key: str, where: str) -> str:
+    """Table scored: (a, b, structural, junction, jaccard, total) of the pairs of a gene that overlap."""
+    return f"""
+    shared AS (SELECT x.{key} AS a, y.{key} AS b, sum(least(x.stop, y.stop) - greatest(x.start, y.start)) AS s FROM {exons} x JOIN {exons} y ON x.gene = y.gene AND x.start < y.stop AND x.stop > y.start GROUP BY 1, 2),
+    fits AS (SELECT x.{key} AS a, y.{key} AS b, count(*) FILTER (WHERE greatest(abs(x.donor - y.donor), abs(x.acceptor - y.acceptor)) <= {SIM.junction_threshold}) AS strict,
+                    count(*) FILTER (WHERE greatest(abs(x.donor - y.donor), abs(x.acceptor - y.acceptor)) > {SIM.junction_threshold}) AS fuzzy
+             FROM {junctions} x JOIN {junctions} y ON x.gene = y.gene AND abs(x.donor - y.donor) <= {SIM.fuzzy_threshold} AND abs(x.acceptor - y.acceptor) <= {SIM.fuzzy_threshold} GROUP BY 1, 2),
+    parts AS (SELECT p.{key} AS a, q.{key} AS b, p.nj AS na, q.nj AS nb,
+                     (1.0::DOUBLE - abs(p.n_exons - q.n_exons)::DOUBLE / greatest(p.n_exons, q.n_exons)) * (1.0::DOUBLE - abs(p.length - q.length)::DOUBLE / greatest(p.length, q.length)) AS structural,
+                     CASE WHEN p.nj = 0 AND q.nj = 0 THEN 1.0 WHEN p.nj = 0 OR q.nj = 0 THEN 0.0
+                          ELSE least((coalesce(strict, 0) + 0.5::DOUBLE * coalesce(fuzzy, 0)) / greatest(p.nj + q.nj - coalesce(strict, 0), 1), 1.0::DOUBLE) END::DOUBLE AS junction,
+                     coalesce(s, 0)::DOUBLE / (p.length + q.length - coalesce(s, 0)) AS jaccard
+              FROM {members} p JOIN {members} q ON p.gene = q.gene AND p.start < q.stop AND p.stop > q.start AND {where}
+              LEFT JOIN fits f ON f.a = p.{key} AND f.b = q.{key} LEFT JOIN shared h ON h.a = p.{key} AND h.b = q.{key}),
+    scored AS (SELECT a, b, structural, junction, jaccard, CASE WHEN na = 0 AND nb = 0 THEN {_W1 / _MONO!r}::DOUBLE * structural + {_W3 / _MONO!r}::DOUBLE * jaccard
+                      ELSE {_W1 / _ALL!r}::DOUBLE * structural + {_W2 / _ALL!r}::DOUBLE * junction + {_W3 / _ALL!r}::DOUBLE * jaccard END AS total FROM parts)"""
+
+
+_FOUR = "printf('%.4f', round({}, 4))"
+
 ORACLE_SQL: dict[str, str] = {
+    "greedy_merge": _with(_LENS, _PAIRED, _MULTI, _SINGLE, _MERGED_STATUS, then=" SELECT p.ord, p.seed, p.mono, s.status FROM seated p JOIN statuses s USING (seed, mono)"),
+    "greedy_mono": _with(_LENS, _PAIRED, _SINGLE, then=" SELECT p.ord, p.seed, o.status FROM mono_placed p LEFT JOIN mono_ok o ON o.a_ord = p.seed AND o.b_ord = p.ord AND p.seed <> p.ord"),
+    "greedy_mono_legacy": _with(_LENS, _PAIRED, _SINGLE, then=" SELECT p.ord, p.seed, o.status FROM mono_placed p LEFT JOIN mono_ok o ON o.a_ord = p.seed AND o.b_ord = p.ord AND p.seed <> p.ord"),
+    "similarity_table": _with(
+        _LENS,
+        _scores("t", "exons", "j", "ord", "p.ord < q.ord"),
+        then=f""" SELECT 't' || a AS transcript_a, 't' || b AS transcript_b, {_FOUR.format("total")} AS similarity, {_FOUR.format("structural")} AS structural, {_FOUR.format("junction")} AS junction,
+        {_FOUR.format("jaccard")} AS jaccard FROM scored""",
+    ),
+    "similarity_clusters": _with(
+        _LENS,
+        _REF,
+        _UNITED,
+        _scores("u", "ux", "uj", "id", "p.id <> q.id"),
+        f"""
+        sim_ranked AS (SELECT id AS ord, gene, row_number() OVER (PARTITION BY gene ORDER BY is_ref DESC, n_occ DESC, length DESC, id, ord) AS n FROM u),
+        rounded AS (SELECT a, b, round(total, 4) AS total, round(structural, 4) AS structural, round(junction, 4) AS junction, round(jaccard, 4) AS jaccard FROM scored),
+        sim_compat AS (SELECT b.ord, list(a.ord ORDER BY s.total DESC, a.n) AS c FROM rounded s JOIN sim_ranked a ON a.ord = s.a JOIN sim_ranked b ON b.ord = s.b AND a.n < b.n
+                       WHERE s.total >= {SIM.min_similarity} AND s.total > 0 GROUP BY b.ord)""",
+        _greedy("sim"),
+        """
+        seated AS (SELECT p.ord AS id, p.seed, p.gene, u.is_ref, u.n_occ, u.length, u.ord, 'chr' || (p.gene % 5 + 1) AS chrom, CASE WHEN (p.gene // 5) % 2 = 0 THEN '+' ELSE '-' END AS strand FROM sim_placed p JOIN u ON u.id = p.ord),
+        met AS (SELECT chrom, strand, min(ord) AS met FROM seated GROUP BY chrom, strand),
+        numbers AS (SELECT id AS seed, row_number() OVER (ORDER BY met, is_ref DESC, n_occ DESC, length DESC, id, ord) AS cluster_no FROM seated JOIN met USING (chrom, strand) WHERE id = seed)""",
+        then=f""" SELECT cluster_no, row_number() OVER (PARTITION BY cluster_no ORDER BY is_ref DESC, n_occ DESC, length DESC, id, ord)::INT AS member_no, 'C' || printf('%06d', cluster_no) AS cluster_id, id AS transcript_id,
+        CASE WHEN id = p.seed THEN 'yes' ELSE 'no' END AS is_representative, {", ".join(_FOUR.format(f"coalesce(s.{c}, 1.0::DOUBLE)") + f" AS {n}" for c, n in (("total", "similarity"), ("structural", "structural"), ("junction", "junction"), ("jaccard", "jaccard")))},
+        'u' AS class_code, 'NA' AS ref_id, chrom, strand FROM seated p JOIN numbers USING (seed) LEFT JOIN rounded s ON s.a = p.seed AND s.b = p.id""",
+    ),
+    "penalty_consensus": _with(
+        _LENS,
+        _PAIRED,
+        """
+        judged AS (SELECT d.*, coalesce(m > 0 AND k1 - k0 + 1 = m AND i1 - i0 + 1 = m, false) AS mergeable,
+            CASE WHEN m IS NULL OR k1 - k0 + 1 > m OR i1 - i0 + 1 > m THEN 'singleton' WHEN i0 = 0 AND na - 1 - i1 = 0 THEN CASE WHEN moved > 0 THEN 'fuzzy_intron' ELSE 'exact_match' END
+            WHEN na - 1 - i1 = 0 THEN CASE WHEN moved > 0 THEN 'fuzzy_truncation_5' ELSE 'truncation_5' END WHEN i0 = 0 THEN CASE WHEN moved > 0 THEN 'fuzzy_truncation_3' ELSE 'truncation_3' END ELSE 'truncation_both' END AS kind,
+            CASE WHEN m IS NULL OR k1 - k0 + 1 > m THEN 0.0 WHEN i1 - i0 + 1 > m THEN greatest(0.0, 100.0 - 50.0 * (i1 - i0 + 1 - m)) ELSE greatest(0.0, 100.0 - err - 5.0 * (na - 1 - i1)) END::DOUBLE AS score
+            FROM duo d LEFT JOIN links USING (a_ord, b_ord)),
+        e AS (SELECT a_ord AS u, b_ord AS v FROM judged WHERE a_ord < b_ord AND sa <= eb AND ea >= sb AND mergeable AND score >= 90.0),
+        both_ways AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+        reach(ord, seen) AS (SELECT ord, ord FROM t UNION SELECT reach.ord, x.v FROM reach JOIN both_ways x ON reach.seen = x.u),
+        roots AS (SELECT ord, min(seen) AS root FROM reach GROUP BY ord),
+        m AS (SELECT t.ord, t.sample_id, t.nj, root FROM t JOIN roots USING (ord)),
+        reps AS (SELECT root, arg_min(ord, struct_pack(a := -nj, b := ord)) AS rep, count(*) AS members FROM m GROUP BY root),
+        each AS (SELECT root, min(ord) AS ord FROM m GROUP BY root, sample_id),
+        s AS (SELECT each.root, each.ord, rep, members, kind, score FROM each JOIN reps USING (root) JOIN judged ON a_ord = rep AND b_ord = each.ord),
+        votes AS (SELECT root, kind, count(*) AS n, min(ord) AS early FROM s GROUP BY root, kind),
+        kinds AS (SELECT root, arg_max(kind, struct_pack(n := n, early := -early)) AS kind FROM votes GROUP BY root)""",
+        then=""" SELECT s.root, any_value(rep) AS representative, any_value(members) AS members, count(*) AS samples, CASE WHEN any_value(members) = 1 THEN 100.0::DOUBLE ELSE avg(score) END AS avg_score,
+        CASE WHEN any_value(members) = 1 THEN 'singleton' ELSE any_value(kinds.kind) END AS kind FROM s JOIN kinds USING (root) GROUP BY s.root""",
+    ),
     "assemble_transcripts": _with(
         _LENS,
         then="""SELECT 't' || ord AS transcript_id, 'g' || any_value(gene) AS gene_id, any_value(chrom) AS chrom, min(start) AS start, max(stop) AS "end", any_value(strand) AS strand,
@@ -189,7 +317,7 @@ ORACLE_SQL: dict[str, str] = {
     "ref_only": _with(_LENS, _REF, _PAIRS, _CODES, then="SELECT ref AS transcript_id, 'g' || gene AS gene_id FROM r WHERE ref NOT IN (SELECT ref_transcript_id FROM best WHERE class_code = '=')"),
     "manifest_dupes": "SELECT 'n' || c_nationkey AS sample_id, count(*) AS n FROM customer GROUP BY c_nationkey HAVING count(*) > 1",
     "attr_parse": "SELECT p_partkey, 'g' || p_size AS gene_id, p_type AS transcript_id, 'two words' AS note, NULL::VARCHAR AS bad, 3::BIGINT AS n FROM part",
-    "sample_freq": _with(_LENS, then=f"SELECT gene, count(DISTINCT sample_id) AS samples, count(*) AS transcripts, count(DISTINCT sample_id)::DOUBLE / {SAMPLES} AS freq FROM t GROUP BY gene"),
+    "sample_freq": _with(_LENS, then=f"SELECT gene, count(DISTINCT sample_id) AS samples, count(*) AS transcripts, round(count(DISTINCT sample_id)::DOUBLE / {SAMPLES}, 4) AS freq FROM t GROUP BY gene"),
     "chain_stats": _with(
         _LENS,
         then=", g AS (SELECT chain, count(*) AS n FROM chains GROUP BY chain) SELECT sum(n)::BIGINT AS members, count(*) AS groups, sum(n)::DOUBLE / count(*) AS avg_size, count(*) FILTER (WHERE n = 1) AS singletons FROM g",
