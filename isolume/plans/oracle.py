@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from isolume.plans.lenses import CFG, GENES, SAMPLES, SIM
+from isolume.sources.sinks import SHOWN
 
 THR = CFG.junction_threshold
 
@@ -25,16 +26,23 @@ rx AS (SELECT g.gene, c.letter || g.gene AS ref, g.gene * 20000 + k.k * 500 AS s
 r AS (SELECT ref, any_value(gene) AS gene, any_value(ref_ord) AS ref_ord, min(start) AS start, max(stop) AS stop, count(*) - 1 AS nj FROM rx GROUP BY ref),
 rj AS (SELECT ref, gene, i, stop AS donor, lead(start) OVER (PARTITION BY ref ORDER BY start) AS acceptor FROM rx QUALIFY acceptor IS NOT NULL)
 """
-_PAIRS = """
-p AS (SELECT t.ord, r.ref, r.ref_ord, t.gene, t.start AS qs, t.stop AS qe, r.start AS rs, r.stop AS re, t.nj AS nq, r.nj AS nr
-      FROM t JOIN r ON t.gene = r.gene AND t.start < r.stop AND t.stop > r.start)
+
+
+def _pairs(t: str, p: str) -> str:
+    return f"""
+{p} AS (SELECT t.ord, r.ref, r.ref_ord, t.gene, t.start AS qs, t.stop AS qe, r.start AS rs, r.stop AS re, t.nj AS nq, r.nj AS nr
+      FROM {t} t JOIN r ON t.gene = r.gene AND t.start < r.stop AND t.stop > r.start)
 """
-_CODES = f"""
-linked AS (SELECT p.ord, p.ref, count(*) AS m, max(rj.i) - min(rj.i) + 1 AS width, count(*) FILTER (WHERE rj.i = j.i) AS same
-           FROM p JOIN j ON j.ord = p.ord JOIN rj ON rj.ref = p.ref AND abs(j.donor - rj.donor) <= {THR} AND abs(j.acceptor - rj.acceptor) <= {THR} GROUP BY p.ord, p.ref),
-touching AS (SELECT DISTINCT p.ord, p.ref, bool_or(x.start >= rx.start AND x.stop <= rx.stop) OVER (PARTITION BY p.ord, p.ref) AS inside
-             FROM p JOIN exons x ON x.ord = p.ord JOIN rx ON rx.ref = p.ref AND x.start < rx.stop AND x.stop > rx.start),
-codes AS (SELECT p.ord, p.ref, p.ref_ord, p.gene,
+
+
+def _codes(t: str, j: str, exons: str, p: str, pre: str = "") -> str:
+    """Tables {pre}codes of pairs p and {pre}best of the transcripts t, with their junctions and exons."""
+    return f"""
+{pre}linked AS (SELECT p.ord, p.ref, count(*) AS m, max(rj.i) - min(rj.i) + 1 AS width, count(*) FILTER (WHERE rj.i = j.i) AS same
+           FROM {p} p JOIN {j} j ON j.ord = p.ord JOIN rj ON rj.ref = p.ref AND abs(j.donor - rj.donor) <= {THR} AND abs(j.acceptor - rj.acceptor) <= {THR} GROUP BY p.ord, p.ref),
+{pre}touching AS (SELECT DISTINCT p.ord, p.ref, bool_or(x.start >= rx.start AND x.stop <= rx.stop) OVER (PARTITION BY p.ord, p.ref) AS inside
+             FROM {p} p JOIN {exons} x ON x.ord = p.ord JOIN rx ON rx.ref = p.ref AND x.start < rx.stop AND x.stop > rx.start),
+{pre}codes AS (SELECT p.ord, p.ref, p.ref_ord, p.gene,
             CASE WHEN h.ord IS NULL THEN CASE WHEN EXISTS (SELECT 1 FROM rj WHERE rj.ref = p.ref AND p.qs >= rj.donor AND p.qe <= rj.acceptor) THEN 'i' END
                  WHEN nq = 0 THEN CASE WHEN h.inside THEN 'c' ELSE 'e' END
                  WHEN nq = nr AND same = nq THEN '='
@@ -43,11 +51,14 @@ codes AS (SELECT p.ord, p.ref, p.ref_ord, p.gene,
                  WHEN rs >= qs AND re <= qe AND NOT (qs >= rs AND qe <= re) THEN 'y'
                  WHEN m > 0 AND nq < nr AND width > m THEN 'm'
                  WHEN m > 0 THEN 'j' ELSE 'o' END AS code
-          FROM p LEFT JOIN linked l ON l.ord = p.ord AND l.ref = p.ref LEFT JOIN touching h ON h.ord = p.ord AND h.ref = p.ref),
-best AS (SELECT t.ord, t.gene, t.chrom, t.strand, t.start, t.stop, t.sample_id, coalesce(b.code, 'u') AS class_code, b.ref AS ref_transcript_id, CASE WHEN b.ref IS NOT NULL THEN 'g' || t.gene END AS ref_gene_id
-         FROM t LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY list_position(['=','c','k','m','n','j','e','o','s','x','i','y','p','u'], code), ref_ord) AS n
-                           FROM codes WHERE code IS NOT NULL) b ON b.ord = t.ord AND b.n = 1)
+          FROM {p} p LEFT JOIN {pre}linked l ON l.ord = p.ord AND l.ref = p.ref LEFT JOIN {pre}touching h ON h.ord = p.ord AND h.ref = p.ref),
+{pre}best AS (SELECT t.*, coalesce(b.code, 'u') AS class_code, b.ref AS ref_transcript_id, CASE WHEN b.ref IS NOT NULL THEN 'g' || t.gene END AS ref_gene_id
+         FROM {t} t LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY list_position(['=','c','k','m','n','j','e','o','s','x','i','y','p','u'], code), ref_ord) AS n
+                           FROM {pre}codes WHERE code IS NOT NULL) b ON b.ord = t.ord AND b.n = 1)
 """
+
+
+_PAIRS, _CODES = _pairs("t", "p"), _codes("t", "j", "exons", "p")
 _NEIGHBOURS = f"""
 n AS (SELECT lag(ord) OVER (PARTITION BY gene ORDER BY ord) AS a_ord, ord AS b_ord FROM t QUALIFY a_ord IS NOT NULL),
 pairs AS (SELECT n.*, a.strand, a.nj AS na, b.nj AS nb, a.n_exons AS xa, b.n_exons AS xb, a.length AS la, b.length AS lb,
@@ -186,7 +197,84 @@ def _scores(members: str, exons: str, junctions: str, key: str, where: str) -> s
 
 _FOUR = "printf('%.4f', round({}, 4))"
 
+
+def _mode(column: str, out: str) -> str:
+    """The most frequent value by cluster and exon ordinal, of equal ones the first member's."""
+    return f"""(SELECT seed, i, arg_max(v, struct_pack(n := c, early := -early)) AS {out} FROM (SELECT q.seed, x.i, x.{column} AS v, count(*) AS c, min(q.n) AS early
+               FROM uq q JOIN exons x ON x.ord = q.ord GROUP BY q.seed, x.i, x.{column}) GROUP BY seed, i)"""
+
+
+# Consensus of the greedy clusters: one member a sample (uq), ends, exons by vote, junctions, provenance; then labels, IDs and genes.
+_CONSENSUS = f"""
+uq AS (SELECT s.seed, s.mono, s.n, t.* FROM seated s JOIN t USING (ord) QUALIFY row_number() OVER (PARTITION BY s.seed, t.sample_id ORDER BY s.n) = 1),
+late AS (SELECT seed, arg_max(v, struct_pack(c := c, early := -early)) AS tes FROM (SELECT seed, CASE WHEN strand = '+' THEN stop ELSE start END AS v, count(*) AS c, min(n) AS early FROM uq GROUP BY 1, 2) GROUP BY seed),
+ends AS (SELECT seed, any_value(mono) AS mono, any_value(gene) AS gene, any_value(chrom) AS chrom, any_value(strand) AS strand, any_value(tes) AS tes, max(n_exons) AS top,
+                CASE WHEN any_value(strand) = '+' THEN min(start) ELSE max(stop) END AS tss, arg_min(sample_id, struct_pack(v := CASE WHEN strand = '+' THEN start ELSE -stop END, n := n)) AS tss_source,
+                arg_min(sample_id, n) AS tes_source, count(*) AS num_samples, string_agg(sample_id, ',' ORDER BY n) AS sample_ids, list(sample_id) AS samples,
+                string_agg(sample_id || ':t' || ord, ',' ORDER BY n) AS source_transcript_ids, list(sample_id ORDER BY n) AS ordered FROM uq JOIN late USING (seed) GROUP BY seed),
+voted AS (SELECT a.seed, a.i, e.strand, CASE WHEN e.strand = '+' AND a.i = 0 THEN tss WHEN e.strand <> '+' AND a.i = top - 1 THEN tes ELSE a.start END AS start,
+                 CASE WHEN e.strand = '+' AND a.i = top - 1 THEN tes WHEN e.strand <> '+' AND a.i = 0 THEN tss ELSE b.stop END AS stop
+          FROM {_mode("start", "start")} a JOIN {_mode("stop", "stop")} b USING (seed, i) JOIN ends e USING (seed)),
+mx AS (SELECT seed AS ord, row_number() OVER (PARTITION BY seed ORDER BY i) - 1 AS i, start, stop, strand FROM voted WHERE start < stop),
+mj AS (SELECT ord, i, stop AS donor, lead(start) OVER (PARTITION BY ord ORDER BY i) AS acceptor FROM mx QUALIFY acceptor IS NOT NULL),
+held AS (SELECT mj.ord, mj.i, any_value(mj.donor) AS donor, any_value(mj.acceptor) AS acceptor, string_agg(uq.sample_id, ':' ORDER BY uq.n) AS samples, max(greatest(abs(mj.donor - j.donor), abs(mj.acceptor - j.acceptor))) AS drift
+         FROM mj JOIN uq ON uq.seed = mj.ord JOIN j ON j.ord = uq.ord AND j.i = mj.i GROUP BY mj.ord, mj.i),
+told AS (SELECT ord, count(*) AS nj, string_agg(donor || '-' || acceptor, ',' ORDER BY i) AS coords, string_agg('novel', ',') AS known, string_agg('j' || i || ':' || samples, ',' ORDER BY i) AS support,
+                string_agg('j' || i || ':' || drift || 'bp', ',' ORDER BY i) AS drifts, count(*) FILTER (WHERE drift > 0) AS moved FROM held GROUP BY ord),
+hit AS (SELECT mj.ord AS seed, uq.ord, uq.n, uq.sample_id, min(mj.i) AS miss_5, any_value(told.nj) - 1 - max(mj.i) AS miss_3 FROM mj JOIN told ON told.ord = mj.ord JOIN uq ON uq.seed = mj.ord AND uq.nj < told.nj
+        JOIN j ON j.ord = uq.ord AND abs(j.donor - mj.donor) <= {THR} AND abs(j.acceptor - mj.acceptor) <= {THR} GROUP BY mj.ord, uq.ord, uq.n, uq.sample_id),
+lost AS (SELECT seed, count(*) FILTER (WHERE miss_5 > 0) AS t5, count(*) FILTER (WHERE miss_3 > 0) AS t3, string_agg(sample_id || ':first_' || miss_5, ';' ORDER BY n) FILTER (WHERE miss_5 > 0) AS m5,
+                string_agg(sample_id || ':last_' || miss_3, ';' ORDER BY n) FILTER (WHERE miss_3 > 0) AS m3 FROM hit GROUP BY seed),
+away AS (SELECT seed, min(a) || '-' || max(a) || 'bp' AS tss_range, min(b) || '-' || max(b) || 'bp' AS tes_range
+         FROM (SELECT seed, abs(CASE WHEN uq.strand = '-' THEN stop ELSE start END - tss) AS a, abs(CASE WHEN uq.strand = '-' THEN start ELSE stop END - tes) AS b FROM uq JOIN ends USING (seed)) GROUP BY seed),
+founded AS (SELECT seed, min(ord) AS first_ord, arg_min(n, n) AS founder FROM seated GROUP BY seed),
+mt AS (SELECT e.seed AS ord, e.gene, e.mono, e.chrom, e.strand, least(tss, tes) AS start, greatest(tss, tes) AS stop, coalesce(told.nj, 0) AS nj, s.status, e.samples,
+              CASE WHEN e.mono THEN struct_pack(a := z.start::BIGINT, b := 0::BIGINT, c := z.ord::BIGINT) ELSE struct_pack(a := -z.nj::BIGINT, b := -z.length::BIGINT, c := z.ord::BIGINT) END AS place,
+              min(f.first_ord) OVER (PARTITION BY e.chrom, e.mono, e.strand) AS met
+       FROM ends e JOIN statuses s USING (seed) JOIN founded f USING (seed) JOIN t z ON z.ord = e.seed LEFT JOIN told ON told.ord = e.seed),
+{_pairs("mt", "mp")},{_codes("mt", "mj", "mx", "mp", "m")},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY mono, met, place) AS merge_ord, substr(chrom, 4)::INT - 1 AS chrom_ord FROM mbest),
+named AS (SELECT *, CASE WHEN class_code = '=' THEN ref_transcript_id ELSE 'Novel.Tx' || printf('%06d', (sum(CASE WHEN class_code = '=' THEN 0 ELSE 1 END) OVER (PARTITION BY chrom ORDER BY merge_ord) + chrom_ord * 1000000)::BIGINT)
+                 || '.' || chrom || '.' || class_code END AS transcript_id FROM ranked),
+meets AS (SELECT DISTINCT a.ord AS u, b.ord AS v FROM named a JOIN named b ON a.gene = b.gene AND a.ord <> b.ord AND struct_pack(s := a.start, o := a.ord) < struct_pack(s := b.start, o := b.ord) AND b.start <= a.stop
+          JOIN mx x ON x.ord = a.ord JOIN mx y ON y.ord = b.ord AND x.start < y.stop AND x.stop > y.start),
+both_ways AS (SELECT u, v FROM meets UNION SELECT v, u FROM meets),
+reach(ord, seen) AS (SELECT ord, ord FROM named UNION SELECT reach.ord, w.v FROM reach JOIN both_ways w ON reach.seen = w.u),
+roots AS (SELECT ord, min(seen) AS component FROM reach GROUP BY ord),
+strands AS (SELECT chrom, strand, min(merge_ord) AS strand_ord FROM named GROUP BY chrom, strand),
+genes AS (SELECT n.chrom, n.strand, component, any_value(chrom_ord) AS chrom_ord, any_value(strand_ord) AS strand_ord, min(struct_pack(s := start, o := merge_ord)) AS first, min(start) AS gene_start, max(stop) AS gene_end, count(*) AS num_transcripts,
+                 len(list_distinct(flatten(list(samples)))) AS gene_samples, count(DISTINCT ref_gene_id) AS refs, min(ref_gene_id) AS gene_ref FROM named n JOIN roots USING (ord) JOIN strands s ON s.chrom = n.chrom AND s.strand = n.strand GROUP BY n.chrom, n.strand, component),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY strand_ord, first) AS gene_no FROM genes),
+whole AS (SELECT n.*, g.gene_no, g.gene_start, CASE WHEN g.refs = 1 THEN g.gene_ref ELSE 'NovelG' || g.gene_no END AS gene_id FROM named n JOIN roots USING (ord) JOIN numbered g ON g.chrom = n.chrom AND g.strand = n.strand AND g.component = roots.component),
+track AS (SELECT w.ord, w.chrom_ord, w.merge_ord, w.transcript_id, w.gene_id, w.status AS merge_status, w.class_code, coalesce(w.ref_transcript_id, 'NA') AS ref_transcript_id, coalesce(w.ref_gene_id, 'NA') AS ref_gene_id,
+    num_samples::VARCHAR AS num_samples, sample_ids, source_transcript_ids, array_to_string(list_transform(ordered, lambda x: x || ':' || w.status), ',') AS per_sample_status, w.nj::VARCHAR AS num_junctions,
+    coalesce(coords, 'NA') AS junction_coords, coalesce(known, 'NA') AS junction_known_status, coalesce(support, 'NA') AS per_junction_sample_support, coalesce(drifts, 'NA') AS per_junction_max_coord_diff,
+    coalesce(moved, 0)::VARCHAR AS diff_junction_count, {_FOUR.format("CASE WHEN w.nj > 0 THEN moved::DOUBLE / w.nj ELSE 0.0::DOUBLE END")} AS diff_junction_ratio, tss::VARCHAR AS tss_coord, tes::VARCHAR AS tes_coord, tss_source, tes_source,
+    tss_range AS tss_diff_range, tes_range AS tes_diff_range, coalesce(t5, 0)::VARCHAR AS truncation_5_count, coalesce(t3, 0)::VARCHAR AS truncation_3_count,
+    {_FOUR.format("coalesce(t5, 0)::DOUBLE / num_samples")} AS truncation_5_ratio, {_FOUR.format("coalesce(t3, 0)::DOUBLE / num_samples")} AS truncation_3_ratio,
+    coalesce(m5, 'NA') AS missing_junctions_5, coalesce(m3, 'NA') AS missing_junctions_3, {_FOUR.format(f"num_samples::DOUBLE / {SAMPLES}")} AS freq_score, 'known' AS strand_status
+    FROM whole w JOIN ends e ON e.seed = w.ord JOIN away USING (seed) LEFT JOIN told ON told.ord = w.ord LEFT JOIN lost ON lost.seed = w.ord)
+"""
+
+
+def _attributes(*pairs: tuple[str, str]) -> str:
+    return " || '; ' || ".join(f"""'{k} "' || {v} || '"'""" for k, v in pairs)
+
+
+def _line(feature: str, chrom: str, start: str, stop: str, strand: str, told: str) -> str:
+    return " || chr(9) || ".join([chrom, "'isolume'", f"'{feature}'", f"({start} + 1)", stop, "'.'", strand, "'.'", f"({told})"])
+
+
+_IDS = (("gene_id", "w.gene_id"), ("transcript_id", "w.transcript_id"))
+_GTF = f""" SELECT chrom_ord, gene_start, gene_no, {_line("gene", "chrom", "gene_start", "gene_end", "strand", _attributes(("gene_id", "CASE WHEN refs = 1 THEN gene_ref ELSE 'NovelG' || gene_no END"), ("gene_name", "'NA'"),
+            ("ref_gene_id", "coalesce(gene_ref, 'NA')"), ("num_transcripts", "num_transcripts"), ("num_samples", "gene_samples")))} AS line FROM numbered
+UNION ALL SELECT w.chrom_ord, gene_start, gene_no, {_line("transcript", "chrom", "start", "stop", "strand", _attributes(*[(k, f"k.{c or k}") for k, c in SHOWN]))} FROM whole w JOIN track k ON k.ord = w.ord
+UNION ALL SELECT w.chrom_ord, gene_start, gene_no, {_line("exon", "chrom", "x.start", "x.stop", "x.strand", _attributes(*_IDS, ("exon_number", "(x.i + 1)")))} FROM whole w JOIN mx x ON x.ord = w.ord"""
+_MERGE = (_LENS, _REF, _PAIRED, _MULTI, _SINGLE, _MERGED_STATUS, _CONSENSUS)
+
 ORACLE_SQL: dict[str, str] = {
+    "tracking": _with(*_MERGE, then=" SELECT * EXCLUDE (ord) FROM track"),
+    "merged_gtf": _with(*_MERGE, then=_GTF),
     "greedy_merge": _with(_LENS, _PAIRED, _MULTI, _SINGLE, _MERGED_STATUS, then=" SELECT p.ord, p.seed, p.mono, s.status FROM seated p JOIN statuses s USING (seed, mono)"),
     "greedy_mono": _with(_LENS, _PAIRED, _SINGLE, then=" SELECT p.ord, p.seed, o.status FROM mono_placed p LEFT JOIN mono_ok o ON o.a_ord = p.seed AND o.b_ord = p.ord AND p.seed <> p.ord"),
     "greedy_mono_legacy": _with(_LENS, _PAIRED, _SINGLE, then=" SELECT p.ord, p.seed, o.status FROM mono_placed p LEFT JOIN mono_ok o ON o.a_ord = p.seed AND o.b_ord = p.ord AND p.seed <> p.ord"),
