@@ -8,18 +8,26 @@ from pyspark.sql import functions as F
 from isolume.functions.kernels import bound
 
 
+def _runs(keyed: Column) -> Column:
+    """array<struct<k, i, n>> of an array<struct<k, i>>: each key with its first i and how often it occurs, by key. Sorting brings keys together."""
+
+    def of(xs: Column) -> Column:
+        begins = F.transform(xs, lambda x, p: F.when((p == 0) | ~F.get(xs, p - 1)["k"].eqNullSafe(x["k"]), F.struct(x["k"].alias("k"), x["i"].alias("i"), p.alias("p"))))
+        return bound(F.array_compact(begins), lambda bs: F.transform(bs, lambda b, j: F.struct(b["k"].alias("k"), b["i"].alias("i"), (F.coalesce(F.get(bs, j + 1)["p"], F.size(xs)) - b["p"]).alias("n"))))
+
+    return bound(F.sort_array(keyed), of)
+
+
 def first_mode(values: Column) -> Column:
     """The most frequent value, of several the one met first; null for an empty array."""
-    counted = lambda vs: F.transform(
-        F.array_distinct(vs), lambda v: F.struct(F.size(F.filter(vs, lambda x: x == v)).alias("n"), (-F.array_position(vs, v)).alias("early"), v.alias("v"))
-    )
-    return bound(values, lambda vs: F.array_max(counted(vs))["v"])
+    runs = _runs(F.transform(values, lambda v, i: F.struct(v.alias("k"), i.alias("i"))))
+    return F.array_max(F.transform(runs, lambda r: F.struct(r["n"].alias("n"), (-r["i"]).alias("early"), r["k"].alias("v"))))["v"]
 
 
 def first_per(items: Column, field: str) -> Column:
-    """Structs that are the first with their value of the field."""
-    keys = F.transform(items, lambda x: x[field])
-    return F.filter(items, lambda x, i: F.array_position(keys, x[field]) == i + 1)
+    """Structs that are the first with their value of the field, in the array's order."""
+    runs = _runs(F.transform(items, lambda x, i: F.struct(x[field].alias("k"), i.alias("i"))))
+    return F.transform(F.sort_array(F.transform(runs, lambda r: r["i"])), lambda i: F.get(items, i))
 
 
 def first_least(items: Column, field: str) -> Column:

@@ -85,21 +85,27 @@ def mono_status(seed: dict, t: dict, cfg: MergeConfig) -> str | None:
     return "monoexon_overlap" if any(ends) else "monoexon_exact"
 
 
-def first_fit(items: list[dict], accept: Callable[[dict, dict], str | None]) -> list[tuple[int, int, str | None]]:
-    """(ord, seed, status) of each item in turn: it joins the first cluster whose seed accepts it, else founds one."""
+def first_fit(items: list[dict], accept: Callable[[dict, dict], str | None], at: Callable[[dict], int], reach: int) -> list[tuple[int, int, str | None]]:
+    """(ord, seed, status) of each item in turn: it joins the first cluster whose seed accepts it, else founds one.
+
+    A seed accepts only items whose place `at` is within reach of its own, so seeds are kept by stretches of that width.
+    """
     seeds: list[dict] = []
+    near: dict[int, list[int]] = {}
     went: dict[tuple, int] = {}
     out = []
+    width = max(reach, 1)
     for t in items:
-        k = went.get(t["key"], 0)
-        status = None
-        while k < len(seeds):
-            status = accept(seeds[k], t)
+        stretch, since = at(t) // width, went.get(t["key"], 0)
+        status, k = None, len(seeds)
+        for i in sorted(i for s in (stretch - 1, stretch, stretch + 1) for i in near.get(s, ()) if i >= since):
+            status = accept(seeds[i], t)
             if status is not None:
+                k = i
                 break
-            k += 1
         if k == len(seeds):
             seeds.append(t)
+            near.setdefault(stretch, []).append(k)
         went[t["key"]] = k
         out.append((t["ord"], seeds[k]["ord"], status))
     return out
@@ -150,25 +156,30 @@ def _grouped(t: DataFrame, run: Callable[[list[dict]], list[tuple]], extra: tupl
     return narrow.repartition(*key).sortWithinPartitions(*key).mapInArrow(work, schema)
 
 
-def merge_multi_exon(t: DataFrame, cfg: MergeConfig) -> DataFrame:
-    """Places multi-exon transcripts: more junctions first, then longer ones, then in input order."""
+def _multi(rows: list[dict], cfg: MergeConfig) -> list[tuple]:
+    """Multi-exon transcripts: more junctions first, then longer ones, then in input order."""
+    rows = sorted((r for r in rows if len(r["x"]) > 1), key=lambda r: (-len(r["j"]), -r["length"], r["ord"]))
+    return first_fit(rows, lambda seed, r: multi_status(seed, r, cfg), lambda r: _ends(r)[0], cfg.tss_window)
 
-    def run(rows: list[dict]) -> list[tuple]:
-        rows.sort(key=lambda r: (-len(r["j"]), -r["length"], r["ord"]))
-        return first_fit(rows, lambda seed, r: multi_status(seed, r, cfg))
 
-    return _grouped(transcript_islands(t, cfg.junction_threshold), run)
+def _mono(rows: list[dict], cfg: MergeConfig) -> list[tuple]:
+    """Mono-exon transcripts in order of start."""
+    rows = sorted((r for r in rows if len(r["x"]) == 1), key=lambda r: (r["start"], r["ord"]))
+    return first_fit(rows, lambda seed, r: mono_status(seed, r, cfg), lambda r: r["x"][0][0], max(cfg.mono_5end, cfg.mono_3end))
+
+
+def _mono_reach(cfg: MergeConfig) -> int:
+    return 0 if cfg.mono_overlap > 0 else max(cfg.mono_5end, cfg.mono_3end)
 
 
 def merge_mono_exon(t: DataFrame, cfg: MergeConfig) -> DataFrame:
-    """Places mono-exon transcripts in order of start."""
+    """(ord, seed, status) of mono-exon transcripts."""
+    return _grouped(transcript_islands(t, _mono_reach(cfg)), lambda rows: _mono(rows, cfg))
 
-    def run(rows: list[dict]) -> list[tuple]:
-        rows.sort(key=lambda r: (r["start"], r["ord"]))
-        return first_fit(rows, lambda seed, r: mono_status(seed, r, cfg))
 
-    reach = 0 if cfg.mono_overlap > 0 else max(cfg.mono_5end, cfg.mono_3end)
-    return _grouped(transcript_islands(t, reach), run)
+def place_transcripts(t: DataFrame, cfg: MergeConfig) -> DataFrame:
+    """(ord, seed, status) of all transcripts; multi-exon and mono-exon ones never share a cluster, but are found on the same islands."""
+    return _grouped(transcript_islands(t, max(cfg.junction_threshold, _mono_reach(cfg))), lambda rows: _multi(rows, cfg) + _mono(rows, cfg))
 
 
 def merge_clusters(t: DataFrame, cfg: MergeConfig) -> DataFrame:
@@ -177,8 +188,8 @@ def merge_clusters(t: DataFrame, cfg: MergeConfig) -> DataFrame:
     A cluster of one is a singleton. A multi-exon cluster has the best status of its pairs, of equally good ones the
     first; a mono-exon one is exact if all its pairs are.
     """
-    multi, mono = t.filter(F.size("exons") > 1), t.filter(F.size("exons") == 1)
-    placed = merge_multi_exon(multi, cfg).withColumn("mono", F.lit(False)).unionByName(merge_mono_exon(mono, cfg).withColumn("mono", F.lit(True)))
+    t = t.filter(F.size("exons") > 0).withColumn("mono", F.size("exons") == 1)
+    placed = place_transcripts(t, cfg)
     good = F.create_map(*[F.lit(x) for kv in STATUS_PRIORITY.items() for x in kv])
     out = t.join(placed, "ord").withColumn("length", F.aggregate("exons", F.lit(0).cast("bigint"), lambda n, e: n + e["end"] - e["start"]))
     order = F.struct(-F.size("junctions"), -F.col("length"), F.col("ord"))

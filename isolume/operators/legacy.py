@@ -76,7 +76,7 @@ def merge_mono_legacy(t: DataFrame, overlap: float = 0.5, three: int = 50, five:
 
     def run(rows: list[dict]) -> list[tuple]:
         rows.sort(key=lambda r: (r["start"], r["ord"]))
-        return first_fit(rows, lambda seed, r: mono_likeness(seed, r, overlap, three, five))
+        return first_fit(rows, lambda seed, r: mono_likeness(seed, r, overlap, three, five), lambda r: r["x"][0][0], max(three, five))
 
     return _grouped(transcript_islands(t, 0 if overlap > 0 else max(three, five)), run, schema=PLACED)
 

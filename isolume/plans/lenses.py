@@ -33,9 +33,8 @@ from isolume.functions.kernels import (
 )
 from isolume.operators import consensus, legacy
 from isolume.operators.classify import classify_best, classify_pairs, reference
-from isolume.operators.components import components
 from isolume.operators.consensus import pick_end, truncations
-from isolume.operators.genes import define_genes, exon_edges, exons_of
+from isolume.operators.genes import define_genes, exon_roots, exons_of
 from isolume.operators.greedy import merge_clusters, merge_mono_exon
 from isolume.operators.ids import assign_ids
 from isolume.operators.interval import islands, overlap_join, self_overlap
@@ -256,8 +255,7 @@ def truncation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gene_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each transcript's component of exon overlap, named by its least transcript."""
-    edges = exon_edges(exons_of(lens(spark, sf_dir), "ord"))
-    found = components(edges).withColumnRenamed("node", "ord")
+    found = exon_roots(exons_of(lens(spark, sf_dir), "ord")).withColumnRenamed("node", "ord")
     t = lens(spark, sf_dir).select("ord")
     return t.join(found, "ord", "left").select("ord", F.coalesce("root", "ord").alias("component"))
 

@@ -28,14 +28,13 @@ def consolidate(transcripts: DataFrame, cfg: MergeConfig, total_samples: int) ->
     """Merged transcripts with merge_id (that of the founding transcript) and merge_ord, before labels."""
     if cfg.min_transcript_len:
         transcripts = transcripts.filter(F.aggregate("exons", F.lit(0).cast("bigint"), lambda n, e: n + e["end"] - e["start"]) >= cfg.min_transcript_len)
-    merged = build_merged(merge_clusters(transcripts, cfg), cfg, total_samples)
+    merged = stored(build_merged(merge_clusters(transcripts, cfg), cfg, total_samples), "consensus")
     return merge_order(merged).withColumn("merge_id", F.col("seed"))
 
 
 def merge_transcripts(transcripts: DataFrame, cfg: MergeConfig, total_samples: int, chrom_order: DataFrame, refs: DataFrame | None = None) -> DataFrame:
     """The whole plan on DataFrames: merged transcripts with labels, IDs and genes."""
-    merged = stored(consolidate(transcripts, cfg, total_samples), "merged")
-    merged = classify_best(merged, refs, "merge_id", cfg.junction_threshold)
+    merged = stored(classify_best(consolidate(transcripts, cfg, total_samples), refs, "merge_id", cfg.junction_threshold), "classified")
     merged = stored(assign_ids(merged, chrom_order, cfg.novel_prefix), "labelled")
     return define_genes(merged, cfg.novel_prefix)
 

@@ -10,8 +10,7 @@ from test_kernels import as_dict, random_row
 
 from isolume.config import ClusterConfig, MergeConfig
 from isolume.operators.classify import classify_best, reference
-from isolume.operators.components import components
-from isolume.operators.genes import define_genes, gene_edges
+from isolume.operators.genes import define_genes, gene_roots
 from isolume.operators.greedy import merge_clusters, mono_status, most_similar, multi_status, similarity_clusters, similarity_parts
 from isolume.operators.ids import assign_ids, merge_order
 from isolume.plans.merge import consolidate
@@ -92,10 +91,11 @@ def test_consensus(spark):
     j = [(200, 300), (500, 600)]
     rows = [row(j, start=100, sample="a", tid="x", ord=0), row(j, start=90, sample="b", tid="y", ord=1), row([(200, 301), (500, 600)], start=90, end=2010, sample="b", tid="z", ord=2), row(j, start=95, sample="c", tid="w", ord=3)]
     m = consolidate(frame(spark, rows), MergeConfig(), 4).first()
-    assert (m.start, m.tss_coord, m.tss_source, m.tes_coord) == (90, 90, "b", 2000 if m.tes_coord == 2000 else 2010)
-    assert sorted(m.sample_ids) == ["a", "b", "c"] and m.num_samples == 3 and m.freq_score == 0.75
-    assert [(x.donor, x.acceptor) for x in m.junctions] == j or m.junctions[0].acceptor == 301
-    assert m.merge_status in ("exact_match", "fuzzy_match")
+    # Longest first: z (1519 bases), y (1510), w (1505), x (1500). z and y are of sample b, which z stands for.
+    assert (m.start, m.tss_coord, m.tss_source, m.tes_coord, m.tes_source) == (90, 90, "b", 2000, "b")
+    assert list(m.sample_ids) == ["b", "c", "a"] and list(m.source_transcripts) == ["b:z", "c:w", "a:x"] and m.num_samples == 3 and m.freq_score == 0.75
+    assert [(x.donor, x.acceptor) for x in m.junctions] == j and (m.tss_diff_range, m.tes_diff_range) == ("0-10bp", "0-10bp")
+    assert m.merge_status == "fuzzy_match" and (m.diff_junction_count, m.diff_junction_ratio) == (1, 0.5)
 
 
 def test_minus_strand_representatives(spark):
@@ -150,7 +150,8 @@ def test_gene_links_stop_at_spans(spark):
         row([], start=1000, end=1200, ord=2, exons=[(1000, 1100), (1300, 1500)]), row([], start=1150, end=1400, ord=3, exons=[(1350, 1400)]),
     ]
     t = frame(spark, rows).withColumn("merge_id", F.col("ord"))
-    assert {tuple(sorted((r.u, r.v))) for r in gene_edges(t).collect()} == {(2, 3)}
+    roots = {r.node: r.root for r in gene_roots(t).collect()}
+    assert {r[7]: roots.get(r[7], r[7]) for r in rows} == {0: 0, 1: 1, 2: 2, 3: 2}
 
 
 def test_gene_links_connect_what_pairs_connect(spark):
@@ -170,5 +171,5 @@ def test_gene_links_connect_what_pairs_connect(spark):
                 u, v = sorted((find(a[7]), find(b[7])))
                 parent[v] = u
     t = frame(spark, rows).withColumn("merge_id", F.col("ord"))
-    roots = {r.node: r.root for r in components(gene_edges(t)).collect()}
+    roots = {r.node: r.root for r in gene_roots(t).collect()}
     assert {r[7]: roots.get(r[7], r[7]) for r in rows} == {r[7]: find(r[7]) for r in rows}
