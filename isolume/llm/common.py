@@ -50,7 +50,7 @@ def unused(name: str, *taken: list[str]) -> str:
 
 
 #: Bytes of input for each core below which rows are dealt out; files of one row group can't be split otherwise.
-SMALL = 8 << 20
+SMALL = 4 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -59,7 +59,8 @@ def spread(df: DataFrame) -> DataFrame:
     At most SMALL bytes a core are shuffled, so this never grows with the data.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
     return df.repartition(cores) if size < cores * SMALL else df
 
 
