@@ -10,6 +10,7 @@ that one founded a cluster that refuses it.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -24,19 +25,28 @@ PLACED = "ord bigint, seed bigint, status string"
 
 
 def nearest(ja: list, jb: list, limit: int) -> list[tuple[int, int, int]]:
-    """(i, j, error) of a greedy matching: each junction of ja takes the nearest free one of jb, ties to the first."""
-    taken, out = set(), []
+    """(i, j, error) of a greedy matching: each junction of ja takes the nearest free one of jb, ties to the first.
+
+    Donors of jb that rise, as they nearly always do, are searched; others are gone through.
+    """
+    taken, out, n = set(), [], len(jb)
+    donors = [y[0] for y in jb]
+    rising = all(x <= y for x, y in zip(donors, donors[1:], strict=False))
     for i, (d, a, s) in enumerate(ja):
-        offers = []
-        for j, (e, b, t) in enumerate(jb):
+        best = None
+        j = bisect_left(donors, d - limit) if rising else 0
+        while j < n:
+            e, b, t = jb[j]
+            if rising and e > d + limit:
+                break
             if j not in taken and (s == t or s == "." or t == "."):
                 error = max(abs(d - e), abs(a - b))
-                if error <= limit:
-                    offers.append((error, j))
-        if offers:
-            error, j = min(offers)
-            taken.add(j)
-            out.append((i, j, error))
+                if error <= limit and (best is None or error < best[0]):
+                    best = error, j
+            j += 1
+        if best:
+            taken.add(best[1])
+            out.append((i, best[1], best[0]))
     return out
 
 
@@ -111,14 +121,26 @@ def first_fit(items: list[dict], accept: Callable[[dict, dict], str | None], at:
     return out
 
 
+def _triples(column: pa.Array | pa.ChunkedArray, fields: tuple[str, str]) -> list[list[tuple]]:
+    """Lists of (first field, second field, strand) of a column of lists of structs."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    flat = column.flatten()
+    told = list(zip(*[flat.field(f).to_pylist() for f in (*fields, "strand")], strict=True))
+    out, at = [], 0
+    for n in column.value_lengths().to_pylist():
+        out.append(told[at : at + (n or 0)])
+        at += n or 0
+    return out
+
+
 def _rows(batch: pa.Table | pa.RecordBatch) -> list[dict]:
-    rows = batch.to_pylist()
-    for r in rows:
-        r["x"] = [(e["start"], e["end"], e["strand"]) for e in r.pop("exons")]
-        r["j"] = [(j["donor"], j["acceptor"], j["strand"]) for j in r.pop("junctions")]
-        r["length"] = sum(b - a for a, b, _ in r["x"])
-        r["plain"] = all(a[1] <= b[0] for a, b in zip(r["x"], r["x"][1:], strict=False))
-        r["key"] = (r["start"], r["end"], tuple(r["j"]), tuple(r["x"]) if not r["j"] else ())
+    rows = batch.select([c for c in batch.schema.names if c not in ("exons", "junctions")]).to_pylist()
+    for r, x, j in zip(rows, _triples(batch.column("exons"), ("start", "end")), _triples(batch.column("junctions"), ("donor", "acceptor")), strict=True):
+        r["x"], r["j"] = x, j
+        r["length"] = sum(b - a for a, b, _ in x)
+        r["plain"] = all(a[1] <= b[0] for a, b in zip(x, x[1:], strict=False))
+        r["key"] = (r["start"], r["end"], tuple(j), tuple(x) if not j else ())
     return rows
 
 

@@ -43,6 +43,7 @@ from isolume.plans.merge import merge_transcripts
 from isolume.sources import sinks
 from isolume.sources.gtf import assemble, natural_order, parse_attributes
 from isolume.sources.manifest import duplicate_samples
+from isolume.storage import stored
 
 GENES = 2000
 SAMPLES = 7
@@ -264,7 +265,7 @@ def _as_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transcripts of the lens as if each were a merged one, labelled."""
     t = lens(spark, sf_dir).withColumn("merge_id", F.col("ord")).withColumn("sample_ids", F.array("sample_id"))
     t = t.withColumn("merge_ord", F.row_number().over(Window.partitionBy("chrom").orderBy("ord")))
-    return classify_best(t, lens_ref(spark), "merge_id", CFG.junction_threshold, WIDTH)
+    return stored(classify_best(t, lens_ref(spark), "merge_id", CFG.junction_threshold, WIDTH), "lens_labelled")
 
 
 def novel_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
