@@ -224,6 +224,31 @@ def test_wide_buckets_of_unlike_texts(spark, monkeypatch):
     assert got == want and len(set(want.values())) > 20
 
 
+def test_near_duplicates_of_a_whole_table(spark):
+    """Against all pairs of the distinct bags of the test documents."""
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no tables")
+    docs = spark.read.parquet(path).select("doc_id", "text")
+    rows = docs.toArrow().combine_chunks()
+    nodes, bags = minhash_dedup.sign(rows.column("text"))[0], minhash_dedup.elements(rows.column("text"))
+    first = {}
+    for i, n in enumerate(nodes):
+        first.setdefault(n if n is not None else i, i)
+    distinct = sorted(first.values())
+    group = {i: i for i in distinct}
+    near = minhash_dedup.similarities([bags[i] for i in distinct]) >= 0.8
+    for a, b in zip(*np.nonzero(np.triu(near, 1)), strict=True):
+        x, y = group[distinct[a]], group[distinct[b]]
+        group = {k: x if v == y else v for k, v in group.items()}
+    ids = rows.column("doc_id").to_pylist()
+    of = [group[first[n if n is not None else i]] for i, n in enumerate(nodes)]
+    least = {}
+    for i, g in zip(ids, of, strict=True):
+        least[g] = min(least.get(g, i), i)
+    assert {r.doc_id: r.class_id for r in classes_of(docs).collect()} == {i: least[g] for i, g in zip(ids, of, strict=True)}
+
+
 def test_near_duplicates_of_odd_rows(odd, nothing):
     got = classes_of(odd).collect()
     assert len(got) == 10 and Counter(r.class_size for r in got if r.doc_id == 6) == Counter({2: 2, 1: 1})
