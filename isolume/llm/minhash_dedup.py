@@ -56,6 +56,8 @@ COLUMNS = 1 << 14
 AT_ONCE = 4 << 20
 #: Rows of about 50 bytes that may be broadcast.
 BROADCAST_ROWS = 200_000
+#: A group of more than this share of all rows (one in HOT) is joined by broadcast, not in a task of its own.
+HOT = 1000
 
 _U = np.uint64
 #: A draw's high 40 bits are a time and its low 24 bits a place (no two places need the same rate).
@@ -255,19 +257,33 @@ def _bags(rows: DataFrame, reps: DataFrame, nodes: DataFrame) -> DataFrame:
     return stored(found.mapInArrow(_bag_batches, "node binary, bag binary").dropDuplicates(["node"]), "near_bags")
 
 
+def _with(rows: DataFrame, each: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of each, which holds one row a key, its number n of rows among them; nulls where it has none.
+
+    Keys of more than one in HOT of all the rows, so fewer than HOT keys at any size, are broadcast: no group's rows
+    come together in one task, however many there are. Rows without a key stay where they are; the others are shuffled.
+    """
+    total = each.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") * HOT > total
+    own = [c for c in each.columns if c != key]
+    first = rows.join(F.broadcast(each.filter(hot)), key, "left")
+    rest = first.filter(F.col("n").isNull() & F.col(key).isNotNull()).drop(*own).join(each.filter(~hot), key, "left")
+    return first.filter(F.col("n").isNotNull() | F.col(key).isNull()).unionByName(rest)
+
+
 def near_classes(docs: DataFrame) -> DataFrame:
     """Returns for every row of docs: doc_id, fp (of its text), root (its class; null if it stands alone without words)."""
     rows = docs.select(F.col("doc_id").cast("long"), "text", fingerprint(F.col("text")).alias("fp"))
     signed = stored(spread(rows).mapInArrow(_sign_batches, _SIGNED_DDL), "near_signed")
     node = signed.filter(F.col("node").isNotNull()).groupBy("node")
-    reps = stored(node.agg(F.min(F.struct("doc_id", "fp")).alias("row"), F.first("bands").alias("bands")).select("node", "row.doc_id", "row.fp", "bands"), "near_nodes")
+    reps = stored(node.agg(F.min(F.struct("doc_id", "fp")).alias("row"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("n")).select("node", "row.doc_id", "row.fp", "bands", "n"), "near_nodes")
 
     members = reps.select("node", F.explode("bands").alias("band"))
     same = F.sum(F.xxhash64("node").cast("decimal(38,0)"))  # buckets of one size and sum have the same members
     buckets = members.groupBy("band").agg(F.count(F.lit(1)).alias("n"), same.alias("same")).filter("n > 1")
     buckets = stored(buckets.groupBy("n", "same").agg(F.min("band").alias("band")).select("band", "n"), "near_buckets")
     members = stored(members.join(buckets, "band"), "near_members")
-    bags_ = _bags(rows, reps.drop("bands"), members.select("node"))
+    bags_ = _bags(rows, reps.drop("bands", "n"), members.select("node"))
 
     dealt = lambda n: F.pmod(F.xxhash64("node", "band"), F.ceil(F.col(n) / BLOCK))
     blocks = members.select(F.xxhash64("band", dealt("n")).alias("key"), F.lit(0).alias("side"), "node", F.col("node").alias("root"))
@@ -301,17 +317,17 @@ def near_classes(docs: DataFrame) -> DataFrame:
     more = stored(_compared(blocks, bags_), "near_more_links")
     if not more.isEmpty():
         classes = components(links.unionByName(more))
-    out = signed.select("doc_id", "fp", "node").join(classes, "node", "left")
-    return out.select("doc_id", "fp", F.coalesce("root", "node").alias("root"))
+    each = stored(reps.select("node", "n").join(classes, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n"), "near_roots")
+    return _with(signed.select("doc_id", "fp", "node"), each, "node").select("doc_id", "fp", "root")
 
 
 def classes_of(docs: DataFrame) -> DataFrame:
     """Returns for every row of docs: doc_id, class_id (the least doc_id of its class), class_size."""
     found = stored(near_classes(docs), "near_found")
-    each = found.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    out = found.join(each, "root", "left")
+    each = found.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n"))
+    out = _with(found, stored(each, "near_classes"), "root")
     alone = F.col("root").isNull()
-    return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
+    return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n", F.lit(1)).cast("long").alias("class_size"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -224,6 +224,18 @@ def test_wide_buckets_of_unlike_texts(spark, monkeypatch):
     assert got == want and len(set(want.values())) > 20
 
 
+@pytest.mark.parametrize("hot", [10, 0])
+def test_no_group_comes_together_in_one_task(spark, monkeypatch, hot):
+    """Half of the rows are one key: it is broadcast, the others are shuffled, rows without a key or a partner stay."""
+    rows = [(i, "hot") for i in range(500)] + [(500 + i, f"k{i}") for i in range(490)] + [(990, None), (991, "unknown")]
+    df = spark.createDataFrame(rows, "doc_id long, root string")
+    each = df.filter("root <> 'unknown'").groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n"))
+    least = {k: (min(i for i, r in rows if r == k), sum(r == k for _, r in rows)) for k in {r for _, r in rows} - {None, "unknown"}}
+    monkeypatch.setattr(minhash_dedup, "HOT", hot)
+    got = minhash_dedup._with(df, each, "root")
+    assert sorted((r.doc_id, r.class_id, r.n) for r in got.collect()) == [(i, *least.get(k, (None, None))) for i, k in rows]
+
+
 def test_near_duplicates_of_a_whole_table(spark):
     """Against all pairs of the distinct bags of the test documents."""
     path = "/root/testdata/sf0.01/documents.parquet"
