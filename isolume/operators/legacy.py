@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from isolume.functions.arrays import first_mode
 from isolume.functions.kernels import junction_chain, match_nearest, penalty_score, side
-from isolume.operators.components import components
-from isolume.operators.greedy import PLACED, _grouped, first_fit
-from isolume.operators.interval import BIN, overlap_join, transcript_islands
+from isolume.operators.greedy import PLACED, _gapless, _grouped, first_fit, nearest
+from isolume.operators.interval import BIN, islands, overlap_join, transcript_islands
+from isolume.storage import stored
 
 
 def chain_groups(t: DataFrame) -> DataFrame:
@@ -33,11 +35,44 @@ def penalty_pairs(t: DataFrame, threshold: int, bin_width: int | None = BIN, **p
     return pairs.select("a_ord", "b_ord", score.alias("s")).select("a_ord", "b_ord", "s.mergeable", "s.kind", "s.score")
 
 
+def _links(a: list, b: list, threshold: int, min_score: float, per_bp: float = 1.0, trunc5: float = 0.0, trunc3: float = 5.0, retention: float = 50.0, min_shared: int = 1) -> bool:
+    """Whether penalty_score finds a pair mergeable and gives it at least min_score."""
+    links = nearest(a, b, threshold)
+    if len(links) < max(min_shared, 1) or not (_gapless([j for _, j, _ in links]) and _gapless([i for i, _, _ in links])):
+        return False
+    return max(0.0, 100.0 - sum(e for _, _, e in links) * per_bp - links[0][0] * trunc5 - (len(a) - 1 - links[-1][0]) * trunc3) >= min_score
+
+
+def _linked(rows: list[dict], link: Callable[[list, list], bool]) -> list[tuple]:
+    """(ord, root) of an island's shapes: each goes through the components met before it, up to the first member that it is linked to."""
+    parts: list[list[dict]] = []
+    for r in sorted((r for r in rows if link(r["j"], r["j"])), key=lambda r: r["ord"]):
+        near = lambda p: p["start"] <= r["end"] and r["start"] <= p["end"] and (link(p["j"], r["j"]) or (r["ord"] < p["last"] and link(r["j"], p["j"])))  # noqa: B023, E731
+        apart, joined = [], [r]
+        for part in parts:
+            if any(near(p) for p in part):
+                joined += part
+            else:
+                apart.append(part)
+        parts = [*apart, joined]
+    return [(p["ord"], min(q["ord"] for q in part)) for part in parts for p in part]
+
+
 def penalty_components(t: DataFrame, threshold: int, min_score: float, bin_width: int | None = BIN, **penalties) -> DataFrame:
-    """(ord, root): transcripts linked by mergeable pairs of at least min_score; others are their own root."""
-    edges = penalty_pairs(t, threshold, bin_width, **penalties).filter(F.col("mergeable") & (F.col("score") >= min_score))
-    roots = components(edges.select(F.col("a_ord").alias("u"), F.col("b_ord").alias("v"))).withColumnRenamed("node", "ord")
-    return t.select("ord").join(roots, "ord", "left").select("ord", F.coalesce("root", "ord").alias("root"))
+    """(ord, root): transcripts linked by mergeable pairs of at least min_score; others are their own root.
+
+    Transcripts of one span and chain are one shape, which links to itself at 100 points if it links to anything, so
+    components are found over shapes, island by island, and a pair that hangs together already isn't scored. Of two
+    shapes the one that has an earlier transcript than the other's last may be the pair's first.
+    """
+    shape = ["chrom", "strand", "start", "end", "junctions"]
+    t = stored(t.select("ord", *shape), "penalty_input")
+    shapes = t.filter((F.size("junctions") > 0) & (F.col("start") <= F.col("end"))).groupBy(*shape).agg(F.min("ord").alias("first"), F.max("ord").alias("last"))
+    shapes = stored(shapes.withColumnRenamed("first", "ord").withColumn("exons", F.array().cast("array<struct<start:bigint,end:bigint,strand:string>>")), "penalty_shapes")
+    found = islands(shapes, ["chrom", "strand"], F.col("start"), F.col("end"))  # spans that only touch share an island
+    roots = _grouped(found, lambda rows: _linked(rows, lambda a, b: _links(a, b, threshold, min_score, **penalties)), ("last",), "first bigint, root bigint")
+    rooted = shapes.withColumnRenamed("ord", "first").join(roots, "first").select(*shape, "root")
+    return t.join(rooted, shape, "left").select("ord", F.coalesce("root", "ord").alias("root"))
 
 
 def penalty_consensus(t: DataFrame, roots: DataFrame, threshold: int, **penalties) -> DataFrame:
